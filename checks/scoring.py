@@ -65,7 +65,7 @@ g AS (SELECT channel, i, sum(v_z) AS total, count(*) AS n FROM zz GROUP BY ALL)"
 def f1e(spark, sf):
     """Medians of groups too large for one task: rank selection instead of one aggregate."""
     rows = supplier_days(spark, sf)
-    z = robust.robust_z(rows, ["channel"], ["v"], clip=None, eps=1e-15, fallback="plus", max_group_rows=1 << 40, small_rows=16)
+    z = robust.robust_z(rows, ["channel"], ["v"], clip=None, eps=1e-15, fallback="plus", max_group_rows=1 << 40, small_rows=60)
     return shape(z.groupBy("channel", "i").agg(F.sum("v_z").alias("total"), F.count("*").alias("n")), "channel i# total: n#")
 
 

@@ -68,6 +68,13 @@ def ranked(events: DataFrame, column: str = "score") -> DataFrame:
     return events.withColumn("rank", F.row_number().over(spec))
 
 
+def top_rows(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
+    """The first k rows of every group in the given order; Spark prunes to k rows per group before
+    the shuffle."""
+    spec = Window.partitionBy(*by).orderBy(*order)
+    return rows.withColumn("rank", F.row_number().over(spec)).where(F.col("rank") <= k)
+
+
 def ensemble_events(
     scores: DataFrame, thresholds: DataFrame, channel_scores: DataFrame, method_z: DataFrame,
     n_channels: DataFrame, fraction: float, max_gap: int, step: int, window: int, sfreq: float,

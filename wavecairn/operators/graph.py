@@ -15,6 +15,8 @@ REC = ["recording_id"]
 HUB = "PEAK"
 # Channels per tile: a task holds two tiles of vectors, whatever the number of channels.
 TILE = 128
+# Correlations equal to this many digits count as tied; ties go to the lower channel index.
+TIE_DIGITS = 9
 
 
 def correlation_links(
@@ -61,7 +63,7 @@ def correlation_links(
                 ia, ib = a["ch_index"].to_numpy(), b["ch_index"].to_numpy()
                 size = np.where(ia[:, None] == ib[None, :], -1.0, np.abs(m))
                 if strongest is not None and strongest < size.shape[1]:
-                    order = np.argsort(-size, axis=1, kind="stable")[:, :strongest]
+                    order = np.argsort(-size.round(TIE_DIGITS), axis=1, kind="stable")[:, :strongest]
                     keep = np.zeros(size.shape, dtype=bool)
                     np.put_along_axis(keep, order, True, axis=1)
                     keep &= size >= threshold
@@ -84,7 +86,7 @@ def correlation_links(
 
 def prune_edges(links: DataFrame, by: list[str], top_k: int) -> DataFrame:
     """Undirected edges: every channel names its ``top_k`` strongest links, either end suffices."""
-    spec = Window.partitionBy(*by, "ch_index").orderBy(F.desc(F.abs("r")), "other_index")
+    spec = Window.partitionBy(*by, "ch_index").orderBy(F.desc(F.round(F.abs("r"), TIE_DIGITS)), "other_index")
     named = links.withColumn("_rank", F.row_number().over(spec)).where(F.col("_rank") <= top_k)
     forward = F.col("ch_index") < F.col("other_index")
     # r is averaged over the two directions only where both were named; they are equal.

@@ -11,7 +11,7 @@ from wavecairn.session import cut_lineage
 # Above this many rows in one group the exact median switches from one hash aggregate per group
 # to rank selection by repeated narrowing.
 SMALL_GROUP_ROWS = 500_000
-_PIVOTS = 1000
+_PIVOTS = 200
 
 
 def largest_group(df: DataFrame, by: list[str]) -> int:
@@ -197,7 +197,7 @@ def robust_z(
     by: list[str],
     columns: list[str],
     baseline: Column | None = None,
-    two_sided: bool = False,
+    two_sided: bool | set[str] = False,
     clip: tuple[float, float] | None = (0.0, 25.0),
     eps: float = 1e-12,
     fallback: str = "unit",
@@ -206,12 +206,13 @@ def robust_z(
     small_rows: int | None = None,
     suffix: str = "_z",
 ) -> DataFrame:
-    """Add ``<c>_z``: (x - median) / scale per group, optionally absolute, clipped, NULL-filled."""
+    """Add ``<c>_z``: (x - median) / scale per group, optionally absolute (all or the named
+    columns), clipped, NULL-filled."""
     stats = robust_stats(df, by, columns, baseline, eps, fallback, max_group_rows, small_rows)
 
     def z(c: str) -> Column:
         score = (F.col(c) - F.col(f"{c}_center")) / F.col(f"{c}_scale")
-        score = F.abs(score) if two_sided else score
+        score = F.abs(score) if two_sided is True or (two_sided and c in two_sided) else score
         if missing is not None:
             score = F.coalesce(F.nanvl(score, F.lit(missing)), F.lit(missing))
         return F.greatest(F.lit(clip[0]), F.least(F.lit(clip[1]), score)) if clip else score

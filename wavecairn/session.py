@@ -24,7 +24,7 @@ def local_session(cores: str = "8", app: str = "wavecairn") -> SparkSession:
     )
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
@@ -41,6 +41,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     size on disk lets Spark decide whether a join side is small enough to broadcast.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/wavecairn-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/wavecairn-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
