@@ -33,11 +33,12 @@ AT, BASE, AFTER = 1200.0, 600.0, 200.0
 def energy_z(spark, sf):
     e = features.band_energy(supplier_days(spark, sf), 28, 7, F.lit(DAYS))
     e = e.withColumn("t", F.col("w") * 7 + 14.0).withColumn("time_s", F.lit(AT))
-    return recruit.standardise_energy(e, BASE, 354)
+    return cut_lineage(recruit.standardise_energy(cut_lineage(e), BASE, 354))
 
 
-def roles_of(spark, sf):
-    return recruit.assign_roles(recruit.recruitment(energy_z(spark, sf), AFTER), RecruitmentConfig(roi_slack_seconds=50, first_slack_seconds=10), REGION)
+def roles_of(spark, sf, z=None):
+    found = recruit.recruitment(z if z is not None else energy_z(spark, sf), AFTER)
+    return cut_lineage(recruit.assign_roles(found, RecruitmentConfig(roi_slack_seconds=50, first_slack_seconds=10), REGION))
 
 
 ZC = [S.supplier_days(), S.windows("s", 28, 7, DAYS), """
@@ -97,7 +98,8 @@ c AS (SELECT zz.recording_id, zz.channel, zz.ch_index, recruit_order AS row, w,
 cap AS (SELECT recording_id, greatest(6.0, quantile_cont(z, 0.99)) AS colour_cap FROM c GROUP BY ALL),
 o AS (SELECT c.*, colour_cap FROM c JOIN cap USING (recording_id))""", select=final(_EVO, "o")))
 def h4(spark, sf):
-    return shape(recruit.evolution_matrix(energy_z(spark, sf), roles_of(spark, sf)), _EVO)
+    z = energy_z(spark, sf)
+    return shape(recruit.evolution_matrix(z, roles_of(spark, sf, z)), _EVO)
 
 
 _OUT = f"{K} position# method"
@@ -164,8 +166,10 @@ def _prune(k: int, threshold: float, by: str = "recording_id", links: str = "lk"
   any_value(r) AS weight FROM {name}_n WHERE rk <= {k} GROUP BY ALL)"""
 
 
-def links_of(spark, sf, threshold, strongest=None):
-    z = energy_z(spark, sf).join(roles_of(spark, sf).where("latency is not null").select(*REC, "channel"), [*REC, "channel"], "left_semi")
+def links_of(spark, sf, threshold, strongest=None, z=None, roles=None):
+    z = z if z is not None else energy_z(spark, sf)
+    roles = roles if roles is not None else roles_of(spark, sf, z)
+    z = z.join(roles.where("latency is not null").select(*REC, "channel"), [*REC, "channel"], "left_semi")
     return graph.correlation_links(graph.series_vectors(z), REC, threshold, 7, strongest)
 
 
@@ -183,8 +187,15 @@ def d6(spark, sf):
 _EDGE = "recording_id src dst weight:"
 
 
-def edges_of(spark, sf):
-    return graph.prune_edges(links_of(spark, sf, 0.15, 2), REC, 2)
+def edges_of(spark, sf, z=None, roles=None):
+    return graph.prune_edges(links_of(spark, sf, 0.15, 2, z, roles), REC, 2)
+
+
+def parts_of(spark, sf):
+    """z, roles and edges of the corpus, each computed once."""
+    z = energy_z(spark, sf)
+    roles = roles_of(spark, sf, z)
+    return z, roles, cut_lineage(edges_of(spark, sf, z, roles))
 
 
 @check("i2_prune_edges", S.query(*RC, _CORR, _prune(2, 0.15), select=final(_EDGE, "ed")))
@@ -212,7 +223,8 @@ _CNT = "recording_id nodes# edges#"
 n AS (SELECT recording_id, count(*) AS nodes FROM roles WHERE latency IS NOT NULL GROUP BY ALL), e AS (SELECT recording_id, count(*) AS edges FROM ed GROUP BY ALL),
 o AS (SELECT recording_id, nodes, coalesce(edges, 0) AS edges FROM n LEFT JOIN e USING (recording_id))""", select=final(_CNT, "o")))
 def i8(spark, sf):
-    return shape(graph.graph_counts(graph.graph_nodes(roles_of(spark, sf)), edges_of(spark, sf)), _CNT)
+    _, roles, edges = parts_of(spark, sf)
+    return shape(graph.graph_counts(graph.graph_nodes(roles), edges), _CNT)
 
 
 # L. Wavelets ------------------------------------------------------------------------------------------------
@@ -345,7 +357,8 @@ tw AS (SELECT recording_id, src, dst, m / sum(m) OVER (PARTITION BY recording_id
 
 @check("j1_degree_normalise", S.query(*RC, _CORR, _prune(2, 0.15), _TW, select=final("recording_id src dst p:", "tw")))
 def j1(spark, sf):
-    return shape(graph.transition_weights(edges_of(spark, sf), graph.graph_nodes(roles_of(spark, sf))), "recording_id src dst p:")
+    _, roles, edges = parts_of(spark, sf)
+    return shape(graph.transition_weights(edges, graph.graph_nodes(roles)), "recording_id src dst p:")
 
 
 def _diffuse_sql(steps: int, alpha: float) -> str:
@@ -360,12 +373,13 @@ h{k} AS (SELECT h.recording_id, h.channel, {k} AS step, {alpha}::DOUBLE * any_va
 
 
 def states_of(spark, sf):
-    return graph.diffuse(graph.graph_nodes(roles_of(spark, sf)), edges_of(spark, sf), 6, 0.5)
+    z, roles, edges = parts_of(spark, sf)
+    return z, graph.diffuse(graph.graph_nodes(roles), edges, 6, 0.5)
 
 
 @check("j2_diffuse", S.query(*RC, _CORR, _prune(2, 0.15), _TW, _diffuse_sql(6, 0.5), select=final("recording_id channel step# h:", "hs")))
 def j2(spark, sf):
-    return shape(states_of(spark, sf), "recording_id channel step# h:")
+    return shape(states_of(spark, sf)[1], "recording_id channel step# h:")
 
 
 _EVAL_SQL = f"""
@@ -378,8 +392,8 @@ ev6 AS (SELECT hs.recording_id, step, any_value(elapsed_s) AS elapsed_s, CASE WH
 
 @check("j3_evaluate_diffusion", S.query(*RC, _CORR, _prune(2, 0.15), _TW, _diffuse_sql(6, 0.5), _EVAL_SQL, select=final("recording_id step# elapsed_s: correlation:", "ev6")))
 def j3(spark, sf):
-    z = cut_lineage(energy_z(spark, sf))
-    return shape(graph.evaluate_diffusion(states_of(spark, sf), z, 6, AFTER), "recording_id step# elapsed_s: correlation:")
+    z, states = states_of(spark, sf)
+    return shape(graph.evaluate_diffusion(states, z, 6, AFTER), "recording_id step# elapsed_s: correlation:")
 
 
 _SUM = "recording_id n_channels_analysed# n_detected_candidates# n_involved_channels# initiators co_activation_edges# best_correlation: mean_correlation:"
@@ -395,8 +409,7 @@ o AS (SELECT recording_id, n_channels AS n_channels_analysed, coalesce(n_detecte
     select=final(_SUM, "o")))
 def p3(spark, sf):
     d = detect(supplier_days(spark, sf), 1.0, CORPUS)
-    z, roles = cut_lineage(energy_z(spark, sf)), cut_lineage(roles_of(spark, sf))
-    edges = cut_lineage(edges_of(spark, sf))
+    z, roles, edges = parts_of(spark, sf)
     states = graph.diffuse(graph.graph_nodes(roles), edges)
     out = A.summarise_runs(d.recordings, d.events, roles, edges, graph.evaluate_diffusion(states, z, 6, AFTER))
     return shape(out.withColumn("initiators", F.array_join("likely_initiators", ",")), _SUM)

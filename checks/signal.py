@@ -122,7 +122,7 @@ def _methods(spark, sf):
     return tall, PE.combine(consensus, 3.0, 175)
 
 
-@check("k5_combine", S.query(*MC[:8], select=final("recording_id w# score: threshold:", "sc JOIN th USING (recording_id)")))
+@check("k5_combine", S.query(*MC[:9], select=final("recording_id w# score: threshold:", "sc JOIN th USING (recording_id)")))
 def k5(spark, sf):
     _, (_, scores, th) = _methods(spark, sf)
     return shape(scores.join(th, REC), "recording_id w# score: threshold:")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wavecairn.functions.names import CLUSTER_GAP_SECONDS, KEYWORDS, mentions
 from wavecairn.operators.sequences import islands
+from wavecairn.session import cut_lineage
 
 REC = ["recording_id"]
 SEGMENT_WINDOWS = 100_000
@@ -84,25 +85,22 @@ def ensemble_events(
     methods; a recording without any flagged window returns its maximum with detected = false."""
     rated = scores.join(thresholds.select(*REC, "threshold"), REC)
     flagged = rated.where(F.col("score") >= F.col("threshold"))
-    runs = merge_by_index(flagged, max_gap).groupBy(*REC, "island").agg(
-        F.min("w").alias("first_w"), F.max("w").alias("last_w")
-    ).drop("island")
-    # A covered window belongs to the last run that starts at or before it: windows inside a run
-    # but below the threshold can hold no higher score than a flagged one, so the flagged windows
-    # of the run decide the peak.
+    # Windows inside a run but below the threshold cannot beat a flagged one, so the flagged windows
+    # of the run decide its peak over all covered windows.
     best = F.max(F.struct("score", (-F.col("w")).alias("_neg")))
-    peaks = merge_by_index(flagged, max_gap).groupBy(*REC, "island").agg(best.alias("_best"))
-    found = runs.join(peaks.withColumnRenamed("island", "first_w"), [*REC, "first_w"]).withColumn("detected", F.lit(True))
+    found = merge_by_index(flagged.select(*REC, "w", "score"), max_gap).groupBy(*REC, "island").agg(
+        F.min("w").alias("first_w"), F.max("w").alias("last_w"), best.alias("_best")
+    ).drop("island").withColumn("detected", F.lit(True))
     whole = (
         rated.join(flagged.select(*REC).distinct(), REC, "left_anti")
         .groupBy(*REC).agg(best.alias("_best"))
         .withColumn("first_w", -F.col("_best._neg")).withColumn("last_w", F.col("first_w"))
         .withColumn("detected", F.lit(False))
     )
-    rows = found.unionByName(whole).select(
+    rows = cut_lineage(found.unionByName(whole).select(
         *REC, "first_w", "last_w", "detected", F.col("_best.score").alias("peak_score"),
         (-F.col("_best._neg")).alias("peak_w"),
-    )
+    ))
     spec = Window.partitionBy(*REC, "first_w")
     tops = (
         rows.select(*REC, "first_w", "peak_w").join(channel_scores.withColumnRenamed("w", "peak_w"), [*REC, "peak_w"])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wavecairn.functions.arrays import array_mean
 from wavecairn.operators.robust import pearson
 from wavecairn.operators.sequences import nearest
+from wavecairn.session import cut_lineage
 
 REC = ["recording_id"]
 HUB = "PEAK"
@@ -164,9 +165,8 @@ def extremes(rows: DataFrame, column: str, k: int = 10) -> DataFrame:
 def transition_weights(edges: DataFrame, nodes: DataFrame, alpha: float | None = None) -> DataFrame:
     """Degree-normalised absolute weights in both directions; with ``alpha`` the rows of one
     diffusion step, self loops included. Isolated channels keep only the self loop."""
-    both = edges.select(*REC, "src", "dst", F.abs("weight").alias("m")).unionByName(
-        edges.select(*REC, F.col("dst").alias("src"), F.col("src").alias("dst"), F.abs("weight").alias("m"))
-    )
+    ends = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    both = edges.select(*REC, F.abs("weight").alias("m"), F.explode(ends).alias("e")).select(*REC, "e.src", "e.dst", "m")
     total = F.sum("m").over(Window.partitionBy(*REC, "src"))
     rows = both.withColumn("p", F.try_divide(F.col("m"), total)).where(F.col("p").isNotNull()).select(*REC, "src", "dst", "p")
     if alpha is None:
@@ -178,9 +178,10 @@ def transition_weights(edges: DataFrame, nodes: DataFrame, alpha: float | None =
 def diffuse(nodes: DataFrame, edges: DataFrame, steps: int = 6, alpha: float = 0.5) -> DataFrame:
     """States of the linear diffusion seeded with peak z: recording_id, channel, step, h.
 
-    One join and one sum per step; each row carries its history, so the chain is used once.
+    One join and one sum per step; each row carries its history, so the chain is used once. The
+    step weights are used in every round and are written out once.
     """
-    moves = transition_weights(edges, nodes, alpha)
+    moves = cut_lineage(transition_weights(edges, nodes, alpha))
     state = nodes.select(*REC, "channel", F.array(F.col("peak_z")).alias("h"))
     for _ in range(steps):
         source = state.select(*REC, F.col("channel").alias("dst"), "h")

@@ -14,10 +14,8 @@ REC = ["recording_id"]
 
 def both_directions(edges: DataFrame) -> DataFrame:
     """Every undirected edge as two rows, as graph-learning readers expect."""
-    turned = edges.select(
-        *[F.col("dst").alias("src") if c == "src" else F.col("src").alias("dst") if c == "dst" else F.col(c) for c in edges.columns]
-    )
-    return edges.unionByName(turned)
+    ends = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return edges.withColumn("_e", F.explode(ends)).select(*[F.col(f"_e.{c}").alias(c) if c in ("src", "dst") else c for c in edges.columns])
 
 
 def write_graph(edges: DataFrame, path: str | None = None) -> DataFrame:
