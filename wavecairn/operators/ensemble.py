@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from wavecairn.functions.arrays import array_std, array_sum, let
-from wavecairn.functions.wavelets import band_names, log_energy, standardised, with_dwt
+from wavecairn.functions.arrays import array_sum, let
+from wavecairn.functions.wavelets import decompose_rows
 
 
 def dtw_rows(waves: np.ndarray, templates: np.ndarray, radius: int) -> np.ndarray:
@@ -95,26 +95,50 @@ def dfa_exponent(wave: Column, points: int, scales: tuple[int, ...] = (4, 8, 16,
     return let(running, lambda profile: let(F.array_compact(F.array(*[point(profile, s) for s in usable])), slope))
 
 
+def _stack(waves: pd.Series) -> np.ndarray:
+    """Equally long arrays as a matrix; missing samples take the median of their row, or 0."""
+    rows = np.stack(waves.to_numpy()).astype(float)
+    gaps = ~np.isfinite(rows)
+    for k in np.flatnonzero(gaps.any(axis=1)):
+        rows[k, gaps[k]] = 0.0 if gaps[k].all() else np.median(rows[k, ~gaps[k]])
+    return rows
+
+
+def _log_energies(bands: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.log1p(np.mean(b * b, axis=1)) for b in bands], axis=1)
+
+
 def dwt_energies(waves: DataFrame, wavelet: str, level: int, column: str = "wave") -> DataFrame:
-    """``energies``: log energy of the detail bands, coarse to fine (arrays stay in the JVM)."""
-    bands = with_dwt(waves, column, wavelet, level)
-    return bands.select(
-        *waves.columns, F.array(*[log_energy(F.col(b)) for b in band_names(level)[1:]]).alias("detail_energies")
-    )
+    """``detail_energies``: log energy of the detail bands, coarse to fine.
+
+    All waves of a batch are filtered at once; the column form of the transform
+    (``functions.wavelets.with_dwt``) gives the same bands but interprets every tap.
+    """
+
+    @pandas_udf("array<double>")
+    def energies(series: pd.Series) -> pd.Series:
+        if not len(series):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(_log_energies(decompose_rows(_stack(series), wavelet, level)[1:])))
+
+    return waves.withColumn("detail_energies", energies(F.col(column)))
 
 
 def wavelet_representation(waves: DataFrame, wavelet: str, level: int, column: str = "wave") -> DataFrame:
     """Per window: ``energies`` of all bands (A first), ``stats`` (mean, deviation, RMS, line
     length) and the vector ``x`` of independently standardised bands."""
-    names = band_names(level)
-    bands = with_dwt(waves, column, wavelet, level)
-    values = F.col(column)
-    n = F.size(values)
-    mean = array_sum(values) / n
-    steps = F.zip_with(F.slice(values, 2, n), F.slice(values, F.lit(1), n - 1), lambda b, a: F.abs(b - a))
-    rms = F.sqrt(array_sum(values, lambda v: v * v) / n)
-    return bands.select(
-        *waves.columns, F.array(*[log_energy(F.col(b)) for b in names]).alias("energies"),
-        F.array(mean, array_std(values), rms, array_sum(steps) / (n - 1)).alias("stats"),
-        F.concat(*[standardised(F.col(b)) for b in names]).alias("x"),
-    )
+
+    @pandas_udf("energies array<double>, stats array<double>, x array<double>")
+    def represent(series: pd.Series) -> pd.DataFrame:
+        if not len(series):
+            return pd.DataFrame({"energies": [], "stats": [], "x": []})
+        rows = _stack(series)
+        bands = decompose_rows(rows, wavelet, level)
+        stats = [rows.mean(axis=1), rows.std(axis=1), np.sqrt(np.mean(rows * rows, axis=1)), np.abs(np.diff(rows, axis=1)).mean(axis=1)]
+        unit = [(b - b.mean(axis=1, keepdims=True)) / (b.std(axis=1, keepdims=True) + 1e-12) for b in bands]
+        return pd.DataFrame({
+            "energies": list(_log_energies(bands)), "stats": list(np.stack(stats, axis=1)), "x": list(np.concatenate(unit, axis=1)),
+        })
+
+    kept = waves.columns
+    return waves.withColumn("_w", represent(F.col(column))).select(*kept, "_w.energies", "_w.stats", "_w.x")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from wavecairn.functions.arrays import array_mean
 from wavecairn.operators.robust import pearson
@@ -43,46 +45,55 @@ def correlation_links(
         *by, "channel", "ch_index", "x", "_home.ta", "_home.tb"
     )
 
-    def standard(part: pd.DataFrame) -> np.ndarray:
-        rows = np.stack(part["x"].to_numpy()).astype(float)
-        rows = rows - rows.mean(axis=1, keepdims=True)
-        norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-        return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 1e-12)
-
-    keys = [f for f in vectors.schema.fields if f.name in by]
-
-    def link(group: pd.DataFrame) -> pd.DataFrame:
-        ta, tb = int(group["ta"].iloc[0]), int(group["tb"].iloc[0])
-        group = group.sort_values("ch_index")
-        left = group[group["ch_index"] // tile == ta]
-        right = group[group["ch_index"] // tile == tb]
-        parts = []
-        if len(left) and len(right):
-            r = np.clip(standard(left) @ standard(right).T, -1.0, 1.0)
-            pairs = [(left, right, r)] if ta == tb else [(left, right, r), (right, left, r.T)]
-            for a, b, m in pairs:
-                ia, ib = a["ch_index"].to_numpy(), b["ch_index"].to_numpy()
-                size = np.where(ia[:, None] == ib[None, :], -1.0, np.abs(m))
-                if strongest is not None and strongest < size.shape[1]:
-                    order = np.argsort(-size.round(TIE_DIGITS), axis=1, kind="stable")[:, :strongest]
-                    keep = np.zeros(size.shape, dtype=bool)
-                    np.put_along_axis(keep, order, True, axis=1)
-                    keep &= size >= threshold
-                else:
-                    keep = size >= threshold
-                p, q = np.nonzero(keep)
-                parts.append(pd.DataFrame({
-                    "channel": a["channel"].to_numpy()[p], "ch_index": ia[p],
-                    "other": b["channel"].to_numpy()[q], "other_index": ib[q], "r": m[p, q],
-                }))
-        out = pd.concat(parts) if parts else pd.DataFrame(columns=["channel", "ch_index", "other", "other_index", "r"])
-        for key in by:
-            out.insert(0, key, group[key].iloc[0])
-        return out[[*by, "channel", "ch_index", "other", "other_index", "r"]]
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sorted(keys, key=lambda f: by.index(f.name)))
-    schema += ", channel string, ch_index int, other string, other_index int, r double"
-    return placed.groupBy(*by, "ta", "tb").applyInPandas(link, schema)
+    members = placed.groupBy(*by, "ta", "tb").agg(
+        F.sort_array(F.collect_list(F.struct("ch_index", "channel", "x"))).alias("_m")
+    )
+    outputs = [("channel", T.StringType()), ("ch_index", T.IntegerType()), ("other", T.StringType()),
+               ("other_index", T.IntegerType()), ("r", T.DoubleType())]
+    schema = T.StructType([members.schema[k] for k in by] + [T.StructField(n, t) for n, t in outputs])
+    arrow = to_arrow_schema(schema)
+
+    def link(batches):
+        for batch in batches:
+            tall = batch.column(batch.schema.get_field_index("_m"))
+            rows, index, name = tall.offsets.to_numpy(), tall.values.field("ch_index").to_numpy(), tall.values.field("channel")
+            vectors, starts = tall.values.field("x").values.to_numpy(), tall.values.field("x").offsets.to_numpy()
+            ta, tb = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("ta", "tb"))
+            found = []
+            for k in range(batch.num_rows):
+                a, b = rows[k], rows[k + 1]
+                unit = _unit_rows(vectors[starts[a] : starts[b]].reshape(b - a, -1))
+                home = index[a:b] // tile
+                left, right = np.flatnonzero(home == ta[k]), np.flatnonzero(home == tb[k])
+                r = np.clip(unit[left] @ unit[right].T, -1.0, 1.0)
+                sides = [(left, right, r)] if ta[k] == tb[k] else [(left, right, r), (right, left, r.T)]
+                for p, q, m in sides:
+                    i, j = _strong_pairs(m, index[a + p], index[a + q], threshold, strongest)
+                    found.append((np.full(len(i), k), a + p[i], a + q[j], m[i, j]))
+            which, one, two, value = (np.concatenate(c) for c in zip(*found))
+            columns = [batch.column(batch.schema.get_field_index(c)).take(pa.array(which)) for c in by]
+            columns += [name.take(pa.array(one)), pa.array(index[one]), name.take(pa.array(two)), pa.array(index[two]), pa.array(value)]
+            yield pa.RecordBatch.from_arrays([c.cast(arrow.field(n).type) for n, c in enumerate(columns)], schema=arrow)
+
+    return members.mapInArrow(link, schema)
+
+
+def _unit_rows(rows: np.ndarray) -> np.ndarray:
+    """Centred rows of length one; rows without variation become zero."""
+    centred = rows - rows.mean(axis=1, keepdims=True)
+    norm = np.sqrt((centred * centred).sum(axis=1, keepdims=True))
+    return np.divide(centred, norm, out=np.zeros_like(centred), where=norm > 1e-12)
+
+
+def _strong_pairs(r, index_a, index_b, threshold: float, strongest: int | None) -> tuple[np.ndarray, np.ndarray]:
+    size = np.where(index_a[:, None] == index_b[None, :], -1.0, np.abs(r))
+    keep = size >= threshold
+    if strongest is not None and strongest < size.shape[1]:
+        order = np.argsort(-size.round(TIE_DIGITS), axis=1, kind="stable")[:, :strongest]
+        first = np.zeros(size.shape, dtype=bool)
+        np.put_along_axis(first, order, True, axis=1)
+        keep &= first
+    return np.nonzero(keep)
 
 
 def prune_edges(links: DataFrame, by: list[str], top_k: int) -> DataFrame:

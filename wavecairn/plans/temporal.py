@@ -7,7 +7,6 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavecairn.functions.arrays import fill_with_median
 from wavecairn.functions.wavelets import usable_level
 from wavecairn.operators import ensemble, events, graph
 from wavecairn.operators.cleaning import clean
@@ -28,7 +27,7 @@ class TemporalGraph(NamedTuple):
 def window_vectors(samples: DataFrame, window: int, wavelet: str = "db4", max_level: int = 5) -> DataFrame:
     """Wavelet energies, statistics and standardised vectors of complete tumbling windows."""
     blocks = pack_blocks(clean(samples), window).where(F.size("v") == window)
-    waves = blocks.select(*CHANNEL, F.col("block").alias("w"), fill_with_median(F.col("v")).alias("wave"))
+    waves = blocks.select(*CHANNEL, F.col("block").alias("w"), F.col("v").alias("wave"))
     return ensemble.wavelet_representation(waves, wavelet, usable_level(window, wavelet, max_level)).drop("wave")
 
 
