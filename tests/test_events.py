@@ -56,6 +56,8 @@ def test_annotation_cluster(spark):
     got = events.cluster_annotations(frame).first()
     assert got["time_s"] == 10396.445 and got["label"] == "приступ + БТКП" and got["member_count"] == 3
     assert got["duration_s"] == pytest.approx(10399.469 - 10392.734)
+    members = events.cluster_members(frame, events.cluster_annotations(frame)).orderBy("onset").collect()
+    assert [m["onset"] for m in members] == [10392.734, 10396.445, 10399.469]
     quiet = spark.createDataFrame([("r", 1.0, "lights off"), ("r", 2.0, "impedance check")], frame.schema)
     assert events.cluster_annotations(quiet).count() == 0
 

@@ -130,33 +130,38 @@ def ensemble_events(
     return ranked(joined, "peak_score")
 
 
+def _annotation_runs(annotations: DataFrame, match: Column, gap: float, span: float | None) -> DataFrame:
+    return islands(
+        annotations.withColumn("_match", match), REC, "onset", lambda prev, cur: cur - prev <= gap,
+        span or 1000.0 * gap, ties=["description"],
+    )
+
+
 def cluster_annotations(
     annotations: DataFrame, keywords=KEYWORDS, gap: float = CLUSTER_GAP_SECONDS,
-    minimum_duration: float = 0.1, span: float | None = None, is_match: Column | None = None,
+    minimum_duration: float = 0.1, span: float | None = None,
 ) -> DataFrame:
     """First annotation cluster per recording that holds a keyword match; its earliest match gives
-    time and label, all its members are kept. Clusters break at gaps longer than ``gap`` seconds."""
-    match = mentions(F.col("description"), keywords) if is_match is None else is_match
-    grouped = islands(
-        annotations.withColumn("_match", match), REC, "onset", lambda prev, cur: cur - prev <= gap,
-        span or 1000.0 * gap, ties=["description"],
-    )
-    # Cluster totals first (members stay out of the shuffle), then the winner's members alone.
+    time and label. Clusters break at gaps longer than ``gap`` seconds. Two sums, no lists: the
+    members are rows of ``cluster_members``."""
+    grouped = _annotation_runs(annotations, mentions(F.col("description"), keywords), gap, span)
     clusters = grouped.groupBy(*REC, "island").agg(
-        F.min("onset").alias("_first"), F.max("onset").alias("_last"),
+        F.min("onset").alias("_first"), F.max("onset").alias("_last"), F.count("*").alias("_n"),
         F.min(F.when(F.col("_match"), F.struct("onset", "description"))).alias("_anchor"),
     ).where(F.col("_anchor").isNotNull())
-    first = clusters.groupBy(*REC).agg(F.min(F.struct("island", "_first", "_last", "_anchor")).alias("c")).select(
-        *REC, "c.*"
-    )
-    members = grouped.join(first.select(*REC, "island"), [*REC, "island"], "left_semi").groupBy(*REC).agg(
-        F.count("*").alias("member_count"),
-        F.sort_array(F.collect_list(F.struct("onset", "description"))).alias("members"),
+    first = clusters.groupBy(*REC).agg(F.min(F.struct("island", "_last", "_n", "_anchor")).alias("c"))
+    return first.select(
+        *REC, F.col("c._anchor.onset").alias("time_s"), F.col("c._anchor.description").alias("label"),
+        F.greatest(F.col("c._last") - F.col("c.island"), F.lit(minimum_duration)).alias("duration_s"),
+        F.col("c._n").alias("member_count"), F.col("c.island").alias("cluster_start"), F.col("c._last").alias("cluster_end"),
     )
-    return first.join(members, REC).select(
-        *REC, F.col("_anchor.onset").alias("time_s"), F.col("_anchor.description").alias("label"),
-        F.greatest(F.col("_last") - F.col("_first"), F.lit(minimum_duration)).alias("duration_s"),
-        "member_count", "members",
+
+
+def cluster_members(annotations: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The annotations of the chosen clusters, one row each."""
+    bounds = clusters.select(*REC, "cluster_start", "cluster_end")
+    return annotations.join(bounds, REC).where(F.col("onset").between(F.col("cluster_start"), F.col("cluster_end"))).drop(
+        "cluster_start", "cluster_end"
     )
 
 

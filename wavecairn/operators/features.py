@@ -122,13 +122,16 @@ def variance_rank(samples: DataFrame, k: int) -> DataFrame:
 
 
 def moving_average(series: DataFrame, by: list[str], column: str, width: int, output: str) -> DataFrame:
-    """Centred box mean over ``width`` rows, truncated at the edges."""
+    """Centred box mean over ``width`` rows of a bounded series (a model window), truncated at the edges."""
     spec = Window.partitionBy(*by).orderBy("i").rowsBetween(-(width // 2), (width - 1) // 2)
     return series.withColumn(output, F.avg(column).over(spec))
 
 
 def lag_embedding(samples: DataFrame, lags: int) -> DataFrame:
-    """``taps``: the previous ``lags`` samples, the first sample standing in before the start."""
+    """``taps``: the previous ``lags`` samples, the first sample standing in before the start.
+
+    For model windows: a window partition is one channel of the samples passed in.
+    """
     spec = Window.partitionBy(*CHANNEL).orderBy("i")
     start = F.first("v").over(spec.rowsBetween(Window.unboundedPreceding, 0))
     taps = [F.coalesce(F.lag("v", k).over(spec), start) for k in range(1, lags + 1)]
