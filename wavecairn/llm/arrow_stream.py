@@ -124,8 +124,8 @@ def write_stream(docs: DataFrame, folder: str, end_id: int = 1, length: int = 20
             writer = _Writer(sink, length, tool.tokenizer.get_vocab_size())
             listing = pa.ipc.new_stream(list_sink, DOCS)
             for batch in batches:
-                for begin in range(0, batch.num_rows, 256):
-                    rows = batch.slice(begin, 256)
+                for begin in range(0, batch.num_rows, 512):
+                    rows = batch.slice(begin, 512)
                     ids, counts = tool.encode(column(rows, "text"))
                     counts = counts + 1
                     ids = np.insert(ids, np.cumsum(counts - 1), end_id)

@@ -16,49 +16,61 @@ from wavecairn.llm.common import small
 from wavecairn.llm.components import connected_components
 from wavecairn.session import cut_lineage
 
-INDEX, PROBE, BOTH = 0, 1, 2
+INDEX, PROBE = 0, 1
 
 
-def segments(goal: Column, t: int) -> list[tuple[Column, Column]]:
-    """(first place from 0, length) of the t+1 even segments of a line of length ``goal``."""
-    base, late = F.floor(goal / (t + 1)).cast("int"), (F.lit(t + 1) - goal % (t + 1)).cast("int")
-    return [(F.lit(i) * base + F.greatest(F.lit(0), F.lit(i) - late), base + (F.lit(i) >= late).cast("int")) for i in range(t + 1)]
+def segment(goal: Column, i: int, t: int) -> tuple[Column, Column]:
+    """First place (from 0) and length of segment i of the t+1 even segments of a line of length ``goal``."""
+    begin, end = (F.floor(goal * k / (t + 1)).cast("int") if 0 < k <= t else (F.lit(0) if k == 0 else goal) for k in (i, i + 1))
+    return begin, end - begin
 
 
 def probes(t: int) -> list[tuple[int, int, int]]:
     """(length difference, segment, shift): where the segment of a line that is shorter by the difference can be.
 
-    Edits left of segment i are at most i, those right of it at most t - i.
+    Edits left of segment i are at most i, those right of it at most t - i. The first t+1 are the line's own
+    segments, which are its index entries as well.
     """
-    return [(d, i, o) for d in range(t + 1) for i in range(t + 1) for o in range(-i, i + 1) if d - (t - i) <= o <= d + t - i]
+    found = [(d, i, o) for d in range(t + 1) for i in range(t + 1) for o in range(-i, i + 1) if d - (t - i) <= o <= d + t - i]
+    return sorted(found, key=lambda p: (p[0] or p[2], p))
 
 
-def _entry(role: int, group: Column, text: Column, size: Column, goal: Column, i: int, shift: int, t: int, when: Column) -> Column:
-    begin, length = segments(goal, t)[i]
-    at = begin + F.lit(shift)
-    fits = when & (at >= 0) & (at + length <= size)
-    key = F.when(fits, F.xxhash64(group, F.lit(i), goal, F.substr(text, at + 1, length)))
-    return F.struct(key.alias("key"), F.lit(role).alias("role"), at.cast("int").alias("at"), length.cast("int").alias("length"), goal.cast("int").alias("goal"))
+def _hash(group: Column, text: Column, size: Column, goal: Column, i: int, shift: int, t: int) -> Column:
+    """Hash of the segment at its shifted place; null where that place is not inside the line."""
+    begin, length = segment(goal, i, t)
+    key = F.xxhash64(group, F.lit(i), goal, F.substr(text, begin + F.lit(shift + 1), length))
+    return F.when((begin + F.lit(shift) >= 0) & (begin + F.lit(shift) + length <= size), key)
 
 
 def segment_keys(lines: DataFrame, t: int, least: int) -> DataFrame:
-    """All index and probe keys of (line, line2, text): several rows a line."""
-    size = F.length("text")
-    entries = []
-    for d, i, o in probes(t):
-        role = BOTH if d == 0 and o == 0 else PROBE
-        entries.append(_entry(role, F.lit(0), F.col("text"), size, size - d, i, o, t, size - d >= least))
-    tall = lines.where(size >= least).withColumn("e", F.explode(F.array(*entries)))
-    return tall.where("e.key IS NOT NULL").select("line", "text", "e.*")
+    """All keys of (line, text): line, text, size, n (which of ``probes``), key. The row-wise work is kept small."""
+    sized = lines.withColumn("size", F.length("text")).where(F.col("size") >= least)
+    keys = [_hash(F.lit(0), F.col("text"), F.col("size"), F.col("size") - d, i, o, t) for d, i, o in probes(t)]
+    return sized.withColumn("keys", F.array(*keys)).select("line", "text", "size", F.posexplode("keys").alias("n", "key")).where("key IS NOT NULL")
+
+
+def _described(hits: DataFrame, t: int) -> DataFrame:
+    """Role, place, length and goal of the keys that were hit; own segments stand on both sides."""
+    parts = []
+    for n, (d, i, o) in enumerate(probes(t)):
+        begin, length = segment(F.col("size") - d, i, t)
+        parts.append((F.col("n") == n, F.named_struct(F.lit("at"), begin + o, F.lit("length"), length, F.lit("goal"), F.col("size") - d)))
+    place = F.coalesce(*[F.when(c, v) for c, v in parts])
+    role = F.explode(F.when(F.col("n") <= t, F.array(F.lit(INDEX), F.lit(PROBE))).otherwise(F.array(F.lit(PROBE))))
+    return hits.select("key", role.alias("role"), "line", "text", F.col("text").alias("rest"), place.alias("s")).select("key", "role", "line", "text", "rest", "s.*")
 
 
 def _refined(rows: DataFrame, t: int) -> DataFrame:
     """Keys of the next level: of the rest of each line, within its key; the index side's rest has length ``goal``."""
-    size = F.length("rest")
-    index = [_entry(INDEX, F.col("key"), F.col("rest"), size, F.col("goal"), i, 0, t, F.col("role") == INDEX) for i in range(t + 1)]
-    probe = [_entry(PROBE, F.col("key"), F.col("rest"), size, F.col("goal"), i, o, t, (F.col("role") == PROBE) & (size - F.col("goal") == d)) for d, i, o in probes(t)]
-    tall = rows.withColumn("e", F.explode(F.array(*index, *probe))).where("e.key IS NOT NULL")
-    return tall.select("line", "text", "rest", "e.*")
+    size, goal, entries = F.length("rest"), F.col("goal"), []
+    for n, (d, i, o) in enumerate(probes(t)):
+        begin, length = segment(goal, i, t)
+        key = _hash(F.col("key"), F.col("rest"), size, goal, i, o, t)
+        asked = (F.col("role") == PROBE) & (size - goal == d)
+        for role, when in ([(INDEX, F.col("role") == INDEX)] if n <= t else []) + [(PROBE, asked)]:
+            entries.append(F.named_struct(F.lit("key"), F.when(when, key), F.lit("role"), F.lit(role), F.lit("at"), begin + o, F.lit("length"), length, F.lit("goal"), goal))
+    tall = rows.withColumn("es", F.array(*entries)).select("line", "text", "rest", F.explode("es").alias("e"))
+    return tall.where("e.key IS NOT NULL").select("line", "text", "rest", "e.*")
 
 
 def _cut_out(rows: DataFrame) -> DataFrame:
@@ -84,8 +96,8 @@ def edit_links(lines: DataFrame, t: int = 1, least: int = 20, pairs_per_key: int
     """
     keyed = segment_keys(lines, t, least)
     shared = cut_lineage(
-        keyed.groupBy("key").agg(F.min("line").alias("lo"), F.max("line").alias("hi"), F.max((F.col("role") != PROBE).cast("int")).alias("indexed"))
-        .where("lo <> hi AND indexed = 1").select("key")
+        keyed.groupBy("key").agg(F.min("line").alias("lo"), F.max("line").alias("hi"), F.min("n").alias("n"))
+        .where(f"lo <> hi AND n <= {t}").select("key")
     )
     few = small(shared, 1_000_000)
     if few is not shared:
@@ -94,8 +106,7 @@ def edit_links(lines: DataFrame, t: int = 1, least: int = 20, pairs_per_key: int
         slim = cut_lineage(keyed.drop("text").join(shared, "key", "left_semi").distinct())
         texts = lines.join(slim.select("line").distinct(), "line", "left_semi").distinct()
         hits = slim.join(texts.select("line", "text"), "line")
-    role = F.explode(F.when(F.col("role") == BOTH, F.array(F.lit(INDEX), F.lit(PROBE))).otherwise(F.array("role")))
-    rows = cut_lineage(_cut_out(cut_lineage(hits).withColumn("rest", F.col("text")).withColumn("role", role)))
+    rows = cut_lineage(_cut_out(_described(hits, t)))
     found = None
     for level in range(depth + 1):
         side = lambda r: F.sum((F.col("role") == r).cast("bigint"))  # noqa: E731, B023

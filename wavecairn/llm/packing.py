@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, tokenizer: st
         return out
 
     schema = PIECES + (", ids array<int>" if with_ids else "")
-    return map_rows(inputs(docs, doc_id="doc_id", text="text"), cut, schema, 256)
+    return map_rows(inputs(docs, doc_id="doc_id", text="text"), cut, schema, 512)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
