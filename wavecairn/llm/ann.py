@@ -31,14 +31,14 @@ class SortedProjections:
 
 def nearest_in_block(
     qid: np.ndarray, queries: np.ndarray, ids: np.ndarray, data: np.ndarray, k: int, m: int = 64, threshold: float = 0.75,
-    fraction: float = 0.1, growth: float = 1.25, seed: int = 17,
+    fraction: float = 0.1, per_neighbour: int = 30, growth: float = 1.25, seed: int = 17,
 ) -> tuple:
     """The k nearest verified rows of a block for every query, as (query ids, ids, distances).
 
     A row collides with a query in a projection while their difference lies in the window. Windows grow by
     virtual rehashing (radius times ``growth``), only the new ends of each are counted. A row that reaches
     ``threshold * m`` collisions is verified with its exact distance. The search of a query ends when
-    ``k + fraction * rows`` are verified, or when the windows hold all rows.
+    ``per_neighbour * k + fraction * rows`` are verified, or when the windows hold all rows.
     """
     x, q = data.astype(np.float64), queries.astype(np.float64)
     index = SortedProjections(x, m, seed)
@@ -49,7 +49,7 @@ def nearest_in_block(
         radii.append(radii[-1] * growth)
     radii.append(np.inf)
     low, high = index.windows(q, np.array(radii))
-    need, enough = max(1, int(np.ceil(threshold * m))), k + int(np.ceil(fraction * len(x)))
+    need, enough = max(1, int(np.ceil(threshold * m))), per_neighbour * k + int(np.ceil(fraction * len(x)))
     out_q, out_v, out_s = [], [], []
     for r in range(len(q)):
         counts = np.zeros(len(x), dtype=np.int64)

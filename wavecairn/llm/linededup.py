@@ -32,7 +32,7 @@ def probes(t: int) -> list[tuple[int, int, int]]:
     segments, which are its index entries as well.
     """
     found = [(d, i, o) for d in range(t + 1) for i in range(t + 1) for o in range(-i, i + 1) if d - (t - i) <= o <= d + t - i]
-    return sorted(found, key=lambda p: (p[0] or p[2], p))
+    return sorted(found, key=lambda p: (p[0] != 0 or p[2] != 0, p))
 
 
 def _hash(group: Column, text: Column, size: Column, goal: Column, i: int, shift: int, t: int) -> Column:
@@ -87,7 +87,7 @@ def _pairs(rows: DataFrame, t: int) -> DataFrame:
     return a.withColumnRenamed("key", "k").join(b, (F.col("k") == F.col("key")) & near).select("a", "b")
 
 
-def edit_links(lines: DataFrame, t: int = 1, least: int = 20, pairs_per_key: int = 4096, depth: int = 16) -> DataFrame:
+def edit_links(lines: DataFrame, t: int = 1, least: int = 20, pairs_per_key: int = 4096, depth: int = 8) -> DataFrame:
     """Links (a, b) between different lines within ``t`` edits and with the same digits in order.
 
     ``lines`` has line (a hash of the text) and text, occurrences included. Only lines of ``least`` code
