@@ -322,6 +322,31 @@ def e2(spark, sf):
     return shape(features.detector_features(features.window_blocks(supplier_days(spark, sf), 28, 7), 28, 7), _FEAT)
 
 
+CUT = 31
+_AFTER = f"cut AS (SELECT * FROM s WHERE i >= {CUT})"
+
+
+@check("e2_after_crop", S.query(S.supplier_days(), _AFTER, S.windows("cut", 28, 7, 2500), S.detector_features(), select=final(_FEAT, f"(SELECT * FROM feat WHERE w * 7 >= {CUT})")))
+def e2_crop(spark, sf):
+    cut = framing.crop(supplier_days(spark, sf), 1.0, tmin=CUT)
+    return shape(features.detector_features(features.window_blocks(cut, 28, 7, 1000), 28, 7), _FEAT)
+
+
+_TOUCHED = "w * 7 <= 449 AND w * 7 + 27 >= 400"
+
+
+@check("e2_with_absent_rows", S.query(S.supplier_days(), "cut AS (SELECT * FROM s WHERE i NOT BETWEEN 400 AND 449)", S.windows("cut", 28, 7, 2500), S.detector_features(), f"""
+o AS (SELECT recording_id, channel, ch_index, w, CASE WHEN {_TOUCHED} THEN NULL ELSE rms END AS rms, CASE WHEN {_TOUCHED} THEN NULL ELSE peak_to_peak END AS peak_to_peak,
+  CASE WHEN {_TOUCHED} THEN NULL ELSE line_length END AS line_length, CASE WHEN {_TOUCHED} THEN NULL ELSE diff_rms END AS diff_rms FROM feat
+  UNION ALL SELECT k.*, w.range, NULL, NULL, NULL, NULL FROM (SELECT DISTINCT recording_id, channel, ch_index FROM s) k, range(354) w
+  WHERE NOT EXISTS (SELECT 1 FROM win x WHERE x.w = w.range) AND w.range * 7 + 28 <= 2500)""", select=final(_FEAT, "o")))
+def e2_absent(spark, sf):
+    rows = supplier_days(spark, sf).where(~F.col("i").between(400, 449))
+    got = features.detector_features(features.window_blocks(rows, 28, 7), 28, 7)
+    # Windows that touch absent rows have no value unless a fill is given.
+    return shape(got.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in features.DETECTOR_FEATURES}), _FEAT)
+
+
 _PROFILE = f"{K} w# rms: peak_to_peak: line_length: diff_rms: bad_fraction:"
 
 

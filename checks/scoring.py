@@ -262,11 +262,11 @@ def g7(spark, sf):
     return shape(events.resolve_event(*_tiers(spark, sf)), _RESOLVED)
 
 
-@check("g7_needs_blind", S.query(S.supplier_days(), S.annotations(), _CLUSTER, "expl AS (SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS recording_id FROM customer)",
+@check("g7_needs_blind", S.query(S.supplier_days(), S.annotations(), _CLUSTER, "expl AS (SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS recording_id FROM customer WHERE c_nationkey % 3 = 0)",
     select="SELECT DISTINCT recording_id FROM s WHERE recording_id NOT IN (SELECT recording_id FROM expl) AND recording_id NOT IN (SELECT recording_id FROM ann)"))
 def g7b(spark, sf):
     recordings = supplier_days(spark, sf).select(*REC).distinct()
-    explicit = nation_contacts(spark, sf).select(*REC).distinct()
+    explicit = nation_contacts(spark, sf).where(F.col("recording_id").cast("bigint") % 3 == 0).select(*REC).distinct()
     annotated = events.cluster_annotations(user_annotations(spark, sf), ("error",), 21_600.0)
     return events.needs_blind(recordings, explicit, annotated)
 

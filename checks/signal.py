@@ -64,6 +64,18 @@ def l5(spark, sf):
     return shape(spectral.welch_psd(hourly(spark, sf), RATE, 48, 24), _PSD)
 
 
+@check("l5_after_crop", S.query(S.hourly(), "cut AS (SELECT * FROM s WHERE i >= 31)", S.windows("cut", 48, 24, HOURS, "every_win"), "win AS (SELECT * FROM every_win WHERE w * 24 >= 31)", f"""
+a AS (SELECT channel, w, avg(v) AS m FROM win GROUP BY ALL),
+d AS (SELECT recording_id, channel, ch_index, w, i - w * 24 AS p, v - m AS x FROM win JOIN a USING (channel, w)),
+f AS (SELECT recording_id, channel, ch_index, w, k, sum({_TAPER} * x * cos(2 * pi() * k * p / 48)) AS re, sum({_TAPER} * x * sin(2 * pi() * k * p / 48)) AS im
+  FROM d, range(1, 25) t(k) GROUP BY ALL),
+n AS (SELECT sum({_TAPER} * {_TAPER}) AS u FROM range(48) t(p)),
+o AS (SELECT recording_id, channel, ch_index, k * 200.0 / 48 AS frequency, avg((re * re + im * im) * CASE WHEN k = 24 THEN 1 ELSE 2 END / (200.0 * (SELECT u FROM n))) AS psd FROM f GROUP BY ALL)""",
+    select=final(_PSD, "o")))
+def l5_crop(spark, sf):
+    return shape(spectral.welch_psd(hourly(spark, sf).where("i >= 31"), RATE, 48, 24, target=240), _PSD)
+
+
 # K. Ensemble -----------------------------------------------------------------------------------------------
 @check("k1_dtw_distance")
 def k1(spark, sf):

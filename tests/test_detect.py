@@ -129,3 +129,32 @@ def test_relaxation_stops_at_the_first_threshold_that_is_passed(spark):
     low = th.withColumn("threshold", F.lit(4.5))
     high = scores.where("w < 6")
     assert robust.relax_threshold(high, low, 3).first()["used_threshold"] == 5.0
+
+
+def test_kernels_start_where_the_crop_starts(spark):
+    from wavecairn.operators import spectral
+
+    data = np.random.default_rng(3).normal(size=(2, 3000))
+    whole = samples(spark, data, ["a", "b"])
+    cut = framing.crop(whole, 100.0, tmin=3.1)
+    kept = data[:, 310:]
+    got = spectral.bandpass(cut, 8.0, 30.0, 100.0, 1000, 400).where("channel = 'b'").orderBy("i").toPandas()
+    assert got["i"].tolist() == list(range(310, 3000))
+    want = spectral.zero_phase(kept[1], 8.0, 30.0, 100.0)
+    np.testing.assert_allclose(got["v"].to_numpy(), want, atol=1e-3)
+    phases = spectral.phase_series(cut, 8.0, 30.0, 100.0, 1000, 400)
+    assert phases.where("channel = 'a'").count() == 2690 and phases.agg(F.min("i")).first()[0] == 310
+    order = spectral.kuramoto_order(cut, 100.0, 100, 50, F.lit(3000), 1000, 400, {"x": (8.0, 30.0)}).where("w >= 7").toPandas()
+    hand = spectral.order_from_phases(phases, 100, 50, F.lit(3000)).where("w >= 7").toPandas()
+    np.testing.assert_allclose(order.sort_values("w")["order"], hand.sort_values("w")["order"], atol=1e-6)
+
+
+def test_absent_rows_count_as_missing(spark):
+    data = np.random.default_rng(4).normal(size=(1, 1000))
+    table = samples(spark, data, ["a"]).where("i < 400 OR i >= 450")
+    packed = framing.pack_blocks(table, 1000).first()
+    assert len(packed["v"]) == 1000 and packed["v"][400:450] == [None] * 50 and packed["v"][450] == data[0, 450]
+    assert cleaning.quality(table).first()["quality"] == pytest.approx(0.95)
+    fills = cleaning.channel_fills(table)
+    rows = detector_features(window_blocks(table, 40, 10).join(fills, ["recording_id", "channel", "ch_index"]), 40, 10)
+    assert rows.count() == 97 and rows.where(F.isnan("rms")).count() == 0

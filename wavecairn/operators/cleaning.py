@@ -15,10 +15,12 @@ def clean(samples: DataFrame) -> DataFrame:
 
 
 def quality(samples: DataFrame) -> DataFrame:
-    """Finite fraction over the whole matrix of a recording."""
-    return samples.groupBy("recording_id").agg(
-        F.avg(finite(F.col("v")).isNotNull().cast("double")).alias("quality")
+    """Finite fraction over the whole matrix of a recording: absent rows inside its span are missing, too."""
+    channels = samples.groupBy(*CHANNEL).agg(
+        F.count(finite(F.col("v"))).alias("present"), F.min("i").alias("first"), F.max("i").alias("last")
     )
+    cells = F.count(F.lit(1)) * (F.max("last") - F.min("first") + 1)
+    return channels.groupBy("recording_id").agg((F.sum("present") / cells).alias("quality"))
 
 
 def accept_quality(samples: DataFrame, minimum: float, strict: bool = False) -> DataFrame:
@@ -45,7 +47,7 @@ def channel_fills(samples: DataFrame, max_group_rows: int | None = None) -> Data
     """
     value = finite(F.col("v"))
     gaps = samples.groupBy(*CHANNEL).agg(
-        F.count_if(value.isNull()).alias("missing"), F.count(value).alias("present")
+        (F.max("i") - F.min("i") + 1 - F.count(value)).alias("missing"), F.count(value).alias("present")
     ).where("missing > 0")
     wanted = samples.join(gaps.select(*CHANNEL), CHANNEL, "left_semi").select(*CHANNEL, value.alias("fill"))
     medians = group_medians(wanted, CHANNEL, ["fill"], max_group_rows)

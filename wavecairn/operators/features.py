@@ -20,12 +20,14 @@ def window_blocks(samples: DataFrame, window: int, step: int, target: int = 8192
     return pack_blocks(samples, block_length(window, step, target), after=max(0, window - step))
 
 
-def _frames(values: np.ndarray, own0: int, window: int, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Complete windows of a block as a matrix, and their window numbers."""
+def _frames(values: np.ndarray, row: dict, window: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Complete windows that start in the block as a matrix, and their window numbers (start / step)."""
+    first = -(-max(row["own0"], row["i0"]) // step)
+    values = values[first * step - row["i0"] :]
     if len(values) < window:
         return np.empty((0, window)), np.empty(0, dtype=np.int64)
     frames = np.lib.stride_tricks.sliding_window_view(values, window)[::step]
-    return frames, own0 // step + np.arange(len(frames), dtype=np.int64)
+    return frames, first + np.arange(len(frames), dtype=np.int64)
 
 
 def _amplitude_columns(centred: np.ndarray, values: np.ndarray) -> dict[str, np.ndarray]:
@@ -47,7 +49,7 @@ def detector_features(blocks: DataFrame, window: int, step: int) -> DataFrame:
     def kernel(values: np.ndarray, row: dict) -> dict[str, np.ndarray]:
         if row.get("fill") is not None:
             values = np.where(np.isfinite(values), values, row["fill"])
-        frames, w = _frames(values, row["own0"], window, step)
+        frames, w = _frames(values, row, window, step)
         x = np.arange(window) - (window - 1) / 2
         slope = frames @ x / (x @ x)
         residual = frames - frames.mean(axis=1, keepdims=True) - slope[:, None] * x
@@ -60,7 +62,7 @@ def window_profiles(blocks: DataFrame, window: int, step: int, points: int = 64)
     """Median-centred features, missing fraction and the normalised, resampled waveform."""
 
     def kernel(values: np.ndarray, row: dict) -> dict[str, np.ndarray]:
-        frames, w = _frames(values, row["own0"], window, step)
+        frames, w = _frames(values, row, window, step)
         bad = ~np.isfinite(frames)
         bad_fraction = bad.mean(axis=1)
         if bad.any():

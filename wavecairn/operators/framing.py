@@ -47,7 +47,8 @@ def pack_blocks(
 
     One shuffle of the samples by (channel, block): only halo samples are sent twice, and a group
     never holds more than block + before + after samples, however long the recording is.
-    Returns keys, block, i0 (index of the first element), own0 (first own sample) and v.
+    Returns keys, block, i0 (index of the first element), own0 (first own sample) and v. ``i0`` is after
+    ``own0`` where a recording (or what is left of it after a crop) begins inside the block.
     """
     if max(before, after) > block:
         raise ValueError("the halo must not be longer than a block")
@@ -64,12 +65,14 @@ def pack_blocks(
         .groupBy(*keys, "block")
         .agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("_points"))
     )
+    # Absent rows become missing samples: positions in ``v`` are always i - i0.
+    first, last = F.col("_points")[0]["i"], F.element_at("_points", -1)["i"]
+    absent = F.array_except(F.sequence(first, last), F.col("_points")["i"])
+    empty = F.lit(None).cast(samples.schema["v"].dataType)
+    filled = F.sort_array(F.concat("_points", F.transform(absent, lambda k: F.struct(k.alias("i"), empty.alias("v")))))
+    whole = F.when(F.size("_points") == last - first + 1, F.col("_points")).otherwise(filled)
     return packed.select(
-        *keys,
-        "block",
-        F.col("_points")[0]["i"].alias("i0"),
-        (F.col("block") * block).alias("own0"),
-        F.col("_points")["v"].alias("v"),
+        *keys, "block", first.alias("i0"), (F.col("block") * block).alias("own0"), whole["v"].alias("v")
     ).where(F.col("i0") + F.size("v") > F.col("own0"))
 
 

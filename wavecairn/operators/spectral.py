@@ -73,6 +73,12 @@ def analytic_phase(values: np.ndarray) -> np.ndarray:
     return np.angle(np.fft.ifft(np.fft.fft(values) * gain))
 
 
+def _own(row: dict, block: int) -> tuple[slice, int]:
+    """The block's own samples as a slice of its array, and the index of the first; a block may begin late."""
+    first = max(row["own0"], row["i0"])
+    return slice(first - row["i0"], row["own0"] + block - row["i0"]), first
+
+
 def _known(values: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(values), values, 0.0)
 
@@ -96,9 +102,9 @@ def bandpass(samples: DataFrame, low: float, high: float, sfreq: float, block: i
     """Zero-phase band-pass of whole recordings, block by block with a margin on both sides."""
 
     def kernel(values: np.ndarray, row: dict) -> dict[str, np.ndarray]:
-        begin = row["own0"] - row["i0"]
-        kept = zero_phase(_known(values), low, high, sfreq)[begin : begin + block]
-        return {"i": row["own0"] + np.arange(len(kept)), "v": kept}
+        own, first = _own(row, block)
+        kept = zero_phase(_known(values), low, high, sfreq)[own]
+        return {"i": first + np.arange(len(kept)), "v": kept}
 
     packed = pack_blocks(samples, block, before=margin, after=margin)
     return per_block(packed, kernel, [("i", T.LongType()), ("v", T.DoubleType())])
@@ -108,10 +114,10 @@ def phase_series(samples: DataFrame, low: float, high: float, sfreq: float, bloc
     """Instantaneous phase of one band per channel and sample."""
 
     def kernel(values: np.ndarray, row: dict) -> dict[str, np.ndarray]:
-        begin = row["own0"] - row["i0"]
+        own, first = _own(row, block)
         centred = _known(values - np.nanmedian(values) if np.isfinite(values).any() else values)
-        kept = analytic_phase(zero_phase(centred, low, high, sfreq))[begin : begin + block]
-        return {"i": row["own0"] + np.arange(len(kept)), "phase": kept}
+        kept = analytic_phase(zero_phase(centred, low, high, sfreq))[own]
+        return {"i": first + np.arange(len(kept)), "phase": kept}
 
     packed = pack_blocks(samples, block, before=margin, after=margin)
     return per_block(packed, kernel, [("i", T.LongType()), ("phase", T.DoubleType())])
@@ -142,13 +148,17 @@ def kuramoto_order(
 
     def phasors(group: pd.DataFrame) -> pd.DataFrame:
         first, rows = group.iloc[0], []
-        matrix = np.stack(group["v"].to_numpy()).astype(float)
+        # Channels may begin or end differently: one common span, missing samples outside.
+        begins, ends = group["i0"].min(), max(i + len(v) for i, v in zip(group["i0"], group["v"]))
+        matrix = np.full((len(group), ends - begins), np.nan)
+        for line, i, v in zip(matrix, group["i0"], group["v"]):
+            line[i - begins : i - begins + len(v)] = np.asarray(v, dtype=float)
         centre = np.array([np.nanmedian(r) if np.isfinite(r).any() else 0.0 for r in matrix])
         matrix = _known(matrix - centre[:, None])
-        begin = int(first["own0"] - first["i0"])
+        own, start = _own({"own0": int(first["own0"]), "i0": int(begins)}, block)
         for name, (low, high) in usable.items():
-            phase = analytic_phase(zero_phase(matrix, low, high, sfreq))[:, begin : begin + block]
-            rows.append((first["recording_id"], name, int(first["own0"]), np.cos(phase).sum(axis=0),
+            phase = analytic_phase(zero_phase(matrix, low, high, sfreq))[:, own]
+            rows.append((first["recording_id"], name, start, np.cos(phase).sum(axis=0),
                          np.sin(phase).sum(axis=0), len(matrix)))
         return pd.DataFrame(rows, columns=["recording_id", "band", "own0", "re", "im", "n"])
 
@@ -226,7 +236,7 @@ def welch_psd(
     kept = (frequency >= low) & (frequency <= min(high, sfreq / 2))
 
     def kernel(values: np.ndarray, row: dict) -> dict[str, np.ndarray]:
-        frames, _ = _frames(_known(values), row["own0"], segment, step)
+        frames, _ = _frames(_known(values), row, segment, step)
         taper = np.hamming(segment + 1)[:-1]
         spectrum = np.abs(np.fft.rfft((frames - frames.mean(axis=1, keepdims=True)) * taper, axis=1)) ** 2
         density = spectrum / (sfreq * (taper @ taper))

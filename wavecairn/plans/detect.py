@@ -33,7 +33,7 @@ def summarise(samples: DataFrame) -> DataFrame:
     """One row per channel: samples present and missing, length. One pass with map-side combine."""
     present = F.count(finite(F.col("v")))
     return samples.groupBy(*CHANNEL).agg(
-        present.alias("present"), (F.count("*") - present).alias("missing"), (F.max("i") + 1).alias("n_samples")
+        present.alias("present"), (F.max("i") - F.min("i") + 1 - present).alias("missing"), (F.max("i") + 1).alias("n_samples")
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -90,7 +92,7 @@ def ensemble_detect(
     review = methods.select(*CHANNEL, "w", ((F.col("time_domain") + F.col("dtw") + F.col("dfa") + F.col("dwt")) / 4).alias("score"))
     found = events.ensemble_events(
         scores, thresholds, review, z, recordings.select(*REC, "n_channels"), config.channel_fraction,
-        int(config.merge_gap_seconds // config.step_seconds), step, window, sfreq, recordings.select(*REC, "n_samples"),
+        math.floor(config.merge_gap_seconds / config.step_seconds), step, window, sfreq, recordings.select(*REC, "n_samples"),
     )
     return Ensemble(found, scores, thresholds, z, review, recordings)
 
