@@ -97,7 +97,7 @@ class _Known:
 class Encoder:
     """``kept``: pieces remembered at most; the memory is started anew beyond that."""
 
-    def __init__(self, path: str, kept: int = 1_000_000):
+    def __init__(self, path: str, kept: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
