@@ -57,7 +57,10 @@ def fit(rows: np.ndarray, labels: list[str], landmarks: int = 48, ridge: float =
     languages = sorted(set(labels))
     where = np.array([languages.index(x) for x in labels])
     chosen = np.concatenate([np.flatnonzero(where == c)[:landmarks] for c in range(len(languages))])
-    unit = rows / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1.0))
+    # The kernel with a landmark sees only places of landmarks; the other columns stay zero in the weights.
+    norm = np.sqrt(np.maximum(rows.sum(axis=1, dtype=np.int64), 1)).astype(np.float32)
+    places = np.flatnonzero(rows[chosen].any(axis=0))
+    unit = rows[:, places].astype(np.float32) / norm[:, None]
     marks = unit[chosen]
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = values > 1e-8 * values.max()
@@ -69,7 +72,9 @@ def fit(rows: np.ndarray, labels: list[str], landmarks: int = 48, ridge: float =
     centred = features - centre
     gram = centred.T @ centred + ridge * len(rows) * np.eye(centred.shape[1])
     solution = np.linalg.solve(gram, centred.T @ (target - middle))
-    return Model(languages, (marks.T.astype(np.float64) @ (root @ solution)).astype(np.float32), (middle - centre @ solution).astype(np.float32))
+    weights = np.zeros((rows.shape[1], len(languages)), dtype=np.float32)
+    weights[places] = marks.T @ (root @ solution).astype(np.float32)
+    return Model(languages, weights, (middle - centre @ solution).astype(np.float32))
 
 
 def train(docs: DataFrame, allowed: Column, per_language: int = 150, **options) -> Model | None:
@@ -99,7 +104,7 @@ def train(docs: DataFrame, allowed: Column, per_language: int = 150, **options)
     if not got:
         return None
     got.sort(key=lambda r: (r["lang"], r["_h"], r["bits"]))
-    rows = np.stack([np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8)) for r in got]).astype(np.float32)
+    rows = np.stack([np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8)) for r in got])
     return fit(rows, [r["lang"] for r in got], **options)
 
 
