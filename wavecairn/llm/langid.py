@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavecairn.llm.common import column, inputs, map_rows, unit_hash
+from wavecairn.llm.common import column, inputs, map_rows, small, unit_hash
 
 PLACES = 1 << 16
 UNKNOWN = "und"
@@ -87,7 +87,7 @@ def train(docs: DataFrame, allowed: Column, per_language: int = 150, **options)
     labelled = inputs(docs, doc_id="doc_id", text="text", lang="lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & allowed)
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     drawn = labelled.withColumn("_h", unit_hash("doc_id", "text", F.lit("sample")))
-    near = drawn.join(counts, "lang").where(F.col("_h") * F.col("_n") < F.lit(2.0 * per_language))
+    near = drawn.join(small(counts), "lang").where(F.col("_h") * F.col("_n") < F.lit(2.0 * per_language))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))
     sample = near.withColumn("_r", rank).where(F.col("_r") <= per_language).select("lang", "_h", "text")
 
