@@ -73,10 +73,10 @@ def pivot(p: list[float], size: list[int], draw: list[float]) -> list[float]:
     return out
 
 
-def round_copies(items: DataFrame, rows_per_task: int = 20_000, fan_in: int = 64) -> DataFrame:
+def round_copies(items: DataFrame, rows_per_task: int = 4096, fan_in: int = 64) -> DataFrame:
     """``p`` of (source, doc_id, size, p) made 0 or 1, with the words of each source kept to within one document.
 
-    A source is dealt to groups of about ``rows_per_task`` rows by doc_id, so a source with a third of all
+    A source is dealt to groups of about ``rows_per_task`` rows by doc_id and size, so a source with a third of all
     rows is many tasks. Each group leaves one open document at most; those meet in groups of ``fan_in`` on
     the next level of the tree, until each source has one, which is drawn. Draws are hashes of doc_id and
     level, so reruns agree. Repeated rows are separate documents.
@@ -84,7 +84,7 @@ def round_copies(items: DataFrame, rows_per_task: int = 20_000, fan_in: int = 64
     counts = items.groupBy(F.col("source").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
     groups = F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("bigint")
     rows = items.join(counts, F.col("source").eqNullSafe(F.col("_of"))).select(
-        "source", "doc_id", "size", "p", F.pmod(F.xxhash64("doc_id", F.lit(7)), groups).alias("_group"),
+        "source", "doc_id", "size", "p", F.pmod(F.xxhash64("doc_id", "size", F.lit(7)), groups).alias("_group"),
     )
     most = counts.agg(F.max("_n")).first()[0] or 0
     width, level, decided = max(1, -(-most // rows_per_task)), 0, []
