@@ -158,3 +158,11 @@ def test_residual_flags_the_burst(spark):
     out = residual_detect(table, event(spark, 60.0), inputs, outputs, sfreq, ReservoirConfig(n_reservoir=80, washout=50, seed=4), 60.0, 30.0)
     row = out.verdicts.first()
     assert row["detected"] and -0.1 <= row["onset_t"] <= 3.5 and row["peak_score"] >= 6 and "DETECTED" in row["verdict"]
+
+
+def test_longer_segments_are_an_error(spark):
+    x = np.random.default_rng(2).standard_normal((1, 300))
+    with pytest.raises(Exception, match="more than 256 samples"):
+        spectral.dwt_components(samples(spark, x, ["a"]), "db4", 3, 256).count()
+    with pytest.raises(Exception, match="more than 256 samples"):
+        spectral.cwt_power(samples(spark, x, ["a"]), 5.0, 80.0, 256.0, 256).count()

@@ -79,6 +79,12 @@ def _own(row: dict, block: int) -> tuple[slice, int]:
     return slice(first - row["i0"], row["own0"] + block - row["i0"]), first
 
 
+def _one_block(row: dict, block: int) -> None:
+    """Segments are transformed as a whole: one that reaches a second block is an error, never cut."""
+    if row["block"]:
+        raise ValueError(f"a segment has more than {block} samples")
+
+
 def _known(values: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(values), values, 0.0)
 
@@ -86,12 +92,13 @@ def _known(values: np.ndarray) -> np.ndarray:
 def bandpass_context(context: DataFrame, low: float, high: float, sfreq: float, block: int) -> DataFrame:
     """Zero-phase band-pass of short contexts (``event_context``), each filtered as a whole.
 
-    ``block`` bounds the context length in samples.
+    ``block`` bounds the context length in samples; a longer one is an error.
     """
     extra = [c for c in ("time_s", "context_s") if c in context.columns]
     keys = [*CHANNEL, *extra]
 
     def kernel(values: np.ndarray, row: dict) -> dict[str, np.ndarray]:
+        _one_block(row, block)
         return {"i": row["i0"] + np.arange(len(values)), "v": zero_phase(_known(values), low, high, sfreq)}
 
     packed = pack_blocks(context, block, keys=keys)
@@ -184,10 +191,11 @@ def cwt_power(
     segments: DataFrame, low: float, high: float, sfreq: float, block: int,
     bandwidth: float = 1.0, centre: float = 0.5, voices: int = 12,
 ) -> DataFrame:
-    """Complex Morlet power of segments (samples re-numbered from 0, at most ``block`` long)."""
+    """Complex Morlet power of segments (samples re-numbered from 0, at most ``block`` long, else an error)."""
     frequencies = cwt_frequencies(low, high, sfreq, voices)
 
     def kernel(values: np.ndarray, row: dict) -> dict[str, np.ndarray]:
+        _one_block(row, block)
         values, n = _known(values), len(values)
         scales = centre * sfreq / frequencies
         size = 1 << int(np.ceil(np.log2(2 * n)))
@@ -206,9 +214,13 @@ def cwt_power(
 
 
 def dwt_components(segments: DataFrame, wavelet: str, level: int, block: int) -> DataFrame:
-    """Full-length reconstruction of every band alone; the components add up to the segment."""
+    """Full-length reconstruction of every band alone; the components add up to the segment.
+
+    Samples are numbered from 0; a segment of more than ``block`` samples is an error.
+    """
 
     def kernel(values: np.ndarray, row: dict) -> dict[str, np.ndarray]:
+        _one_block(row, block)
         n = len(values)
         used = usable_level(n, wavelet, level)
         bands = decompose_rows(_known(values)[None, :], wavelet, used)
