@@ -52,27 +52,37 @@ class Model:
         return (rows @ self.weights) / norm[:, None] + self.bias
 
 
-def fit(rows: np.ndarray, labels: list[str], landmarks: int = 48, ridge: float = 1e-3) -> Model:
-    """Nystrom features from the first ``landmarks`` rows of every language, then ridge regression to +1 and -1."""
+def fit(packed: np.ndarray, labels: list[str], landmarks: int = 48, ridge: float = 1e-3, block: int = 64) -> Model:
+    """Nystrom features from the first ``landmarks`` rows of every language, then ridge regression to +1 and -1.
+
+    ``packed`` has one row of presence bits per text. Only ``block`` rows are unpacked at a time, and of them
+    only the places of landmarks: the kernel with a landmark sees no others, their weights stay zero.
+    """
     languages = sorted(set(labels))
     where = np.array([languages.index(x) for x in labels])
     chosen = np.concatenate([np.flatnonzero(where == c)[:landmarks] for c in range(len(languages))])
-    # The kernel with a landmark sees only places of landmarks; the other columns stay zero in the weights.
-    norm = np.sqrt(np.maximum(rows.sum(axis=1, dtype=np.int64), 1)).astype(np.float32)
-    places = np.flatnonzero(rows[chosen].any(axis=0))
-    unit = rows[:, places].astype(np.float32) / norm[:, None]
-    marks = unit[chosen]
+    held = np.bitwise_count(packed).sum(axis=1, dtype=np.int64)
+    places = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(packed[chosen], axis=0)))
+
+    def unit(rows: np.ndarray) -> np.ndarray:
+        out = np.empty((len(rows), len(places)), dtype=np.float32)
+        for k, row in enumerate(rows):
+            np.divide(np.unpackbits(packed[row])[places], np.sqrt(np.float32(max(held[row], 1))), out=out[k])
+        return out
+
+    marks = unit(chosen)
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = values > 1e-8 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    features = (unit @ marks.T).astype(np.float64) @ root
+    kernel = np.concatenate([unit(np.arange(k, min(k + block, len(packed)))) @ marks.T for k in range(0, len(packed), block)])
+    features = kernel.astype(np.float64) @ root
     centre = features.mean(axis=0)
     target = np.where(where[:, None] == np.arange(len(languages)), 1.0, -1.0)
     middle = target.mean(axis=0)
     centred = features - centre
-    gram = centred.T @ centred + ridge * len(rows) * np.eye(centred.shape[1])
+    gram = centred.T @ centred + ridge * len(packed) * np.eye(centred.shape[1])
     solution = np.linalg.solve(gram, centred.T @ (target - middle))
-    weights = np.zeros((rows.shape[1], len(languages)), dtype=np.float32)
+    weights = np.zeros((8 * packed.shape[1], len(languages)), dtype=np.float32)
     weights[places] = marks.T @ (root @ solution).astype(np.float32)
     return Model(languages, weights, (middle - centre @ solution).astype(np.float32))
 
@@ -104,8 +114,8 @@ def train(docs: DataFrame, allowed: Column, per_language: int = 150, **options)
     if not got:
         return None
     got.sort(key=lambda r: (r["lang"], r["_h"], r["bits"]))
-    rows = np.stack([np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8)) for r in got])
-    return fit(rows, [r["lang"] for r in got], **options)
+    packed = np.stack([np.frombuffer(r["bits"], dtype=np.uint8) for r in got])
+    return fit(packed, [r["lang"] for r in got], **options)
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
