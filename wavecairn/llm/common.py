@@ -54,6 +54,13 @@ def unit_hash(*cols: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
 
 
-def small(df: DataFrame, rows: int = 250_000) -> DataFrame:
-    """``df`` to be broadcast if it was counted to have at most ``rows`` (short) rows; else left to a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = 250_000, weight: Column | None = None) -> DataFrame:
+    """``df`` to be broadcast if it was measured to be small; else left to a shuffled join, with the same rows.
+
+    Small is: at most ``rows`` rows, if all rows are short, or a sum of ``weight`` of at most ``rows``.
+    """
+    if weight is None:
+        fits = df.limit(rows + 1).count() <= rows
+    else:
+        fits = (df.agg(F.sum(weight)).first()[0] or 0) <= rows
+    return F.broadcast(df) if fits else df

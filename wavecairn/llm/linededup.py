@@ -157,7 +157,8 @@ def dedup_lines(docs: DataFrame, t: int = 1, least: int = 20) -> DataFrame:
     drops = line_drops(docs, t, least)
     names = docs.columns
     base = docs.withColumns({"_version": F.xxhash64("text"), "_lines": F.split("text", "\n")})
-    joined = base.join(small(drops), F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("_version") == F.col("version")), "left")
+    # Measured in places of 4 bytes, a row counting as 16: at most 32 MB are broadcast.
+    joined = base.join(small(drops, 8_000_000, F.size("places") + 16), F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("_version") == F.col("version")), "left")
     size = F.size("_lines")
     rest = F.array_except(F.sequence(F.lit(0), size - 1), F.col("places"))
     text = F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(F.transform(rest, lambda k: F.get("_lines", k)), "\n"))
