@@ -47,7 +47,12 @@ def test_low_quality_is_rejected(spark):
     table = samples(spark, data, ["a", "b"])
     with pytest.raises(ValueError, match="usable sample fraction"):
         detect(table, 10.0, strict=True)
-    assert detect(table, 10.0).events.count() == 0
+    found = detect(table.unionByName(samples(spark, burst()[:2], ["a", "b"]).withColumn("recording_id", F.lit("good"))), 10.0)
+    assert found.events.where("recording_id <> 'good'").count() == 0
+    bad, good = (found.audit.where(f"recording_id {sign} 'good'").orderBy("step").collect() for sign in ("<>", "="))
+    assert [(r["phase"], r["tool"]) for r in bad] == [("observe", "validate"), ("finalize", "reject")]
+    assert float(bad[0]["detail"]["quality"]) == pytest.approx(0.7) and bad[1]["detail"]["reason"] == "quality"
+    assert [r["tool"] for r in good if r["phase"] in ("observe", "finalize")] == ["validate", "verify"]
     rated = cleaning.accept_quality(table, 0.8).first()
     assert rated["quality"] == pytest.approx(0.7) and not rated["ok"]
 
@@ -99,6 +104,10 @@ def test_rank_selection_gives_the_exact_median(spark, kind):
     frame = spark.createDataFrame([("hot" if h else "cold", float(v)) for h, v in zip(hot, x)], "g string, x double")
     got = {r["g"]: r["x"] for r in robust.group_medians(frame, ["g"], ["x"], max_group_rows=1 << 40, small_rows=50).collect()}
     assert got["hot"] == pytest.approx(np.median(x[hot])) and got["cold"] == pytest.approx(np.median(x[~hot]))
+    # One long group and a short one, each by its own way: the same as both by one aggregate.
+    mixed, plain = (robust.robust_stats(frame, ["g"], ["x"], small_rows=limit).orderBy("g").collect() for limit in (1000, 10_000))
+    for a, b in zip(mixed, plain, strict=True):
+        assert a["g"] == b["g"] and a["x_center"] == pytest.approx(b["x_center"]) and a["x_scale"] == pytest.approx(b["x_scale"])
 
 
 def test_runs_across_segment_borders(spark):

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from wavecairn.functions.arrays import sorted_median
 from wavecairn.session import cut_lineage
 
-# Above this many rows in one group the exact median switches from one hash aggregate per group
-# to rank selection by repeated narrowing.
+# A group of more rows than this gets its exact median by rank selection in repeated narrowing, a smaller
+# one by one aggregate. That is decided for every group by itself: a long one does not slow down the others.
 SMALL_GROUP_ROWS = 500_000
 _PIVOTS = 200
 
@@ -20,6 +20,13 @@ def largest_group(df: DataFrame, by: list[str]) -> int:
     return int(row["m"] or 0)
 
 
+def _split_by_size(df: DataFrame, by: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of the groups of at most ``limit`` rows, and rows of the larger groups, from one written table."""
+    written = cut_lineage(df)
+    large = cut_lineage(written.groupBy(*by).count().where(F.col("count") > limit).select(*by))
+    return written.join(large, by, "left_anti"), written.join(large, by, "left_semi")
+
+
 def group_medians(
     df: DataFrame,
     by: list[str],
@@ -31,19 +38,23 @@ def group_medians(
     """Exact interpolated medians per group, NULLs skipped; ``extra`` are further aggregates.
 
     ``max_group_rows`` is the caller's bound (known from recording lengths); when it is absent the
-    groups are counted. Groups within the bound use the built-in median; beyond it no group is
-    ever gathered in one task.
+    groups are counted. Groups of at most ``small_rows`` use the built-in median; a larger group is
+    never gathered in one task, whatever the others do.
     """
     limit = SMALL_GROUP_ROWS if small_rows is None else small_rows
     if max_group_rows is None:
         max_group_rows = largest_group(df, by)
     if max_group_rows <= limit:
-        return df.groupBy(*by).agg(*[F.median(c).alias(c) for c in columns], *(extra or []))
-    medians = _selected_medians(df, by, columns, limit)
-    if not extra:
-        return medians
-    keyed = df.groupBy(*by).agg(*extra)
-    return keyed.join(medians, by, "left")
+        return _built_in_medians(df, by, columns, extra)
+    short, long = _split_by_size(df, by, limit)
+    medians = _selected_medians(long, by, columns, limit)
+    if extra:
+        medians = long.groupBy(*by).agg(*extra).join(medians, by, "left")
+    return _built_in_medians(short, by, columns, extra).unionByName(medians)
+
+
+def _built_in_medians(df: DataFrame, by: list[str], columns: list[str], extra: list[Column] | None) -> DataFrame:
+    return df.groupBy(*by).agg(*[F.median(c).alias(c) for c in columns], *(extra or []))
 
 
 def _selected_medians(df: DataFrame, by: list[str], columns: list[str], limit: int) -> DataFrame:
@@ -152,9 +163,13 @@ def robust_stats(
         max_group_rows = largest_group(base, by)
     if max_group_rows <= limit:
         return _collected_stats(base, by, columns, eps, fallback)
-    first = group_medians(
-        base, by, columns, max_group_rows, [F.stddev_pop(c).alias(f"{c}_std") for c in columns], limit
-    )
+    short, long = _split_by_size(base, by, limit)
+    return _collected_stats(short, by, columns, eps, fallback).unionByName(_selected_stats(long, by, columns, eps, fallback, limit))
+
+
+def _selected_stats(base: DataFrame, by: list[str], columns: list[str], eps: float, fallback: str, limit: int) -> DataFrame:
+    """Groups beyond the limit: rank selection for the median, then for the deviations from it."""
+    first = base.groupBy(*by).agg(*[F.stddev_pop(c).alias(f"{c}_std") for c in columns]).join(_selected_medians(base, by, columns, limit), by, "left")
     first = first.select(*by, *[F.col(c).alias(f"{c}_center") for c in columns], *[f"{c}_std" for c in columns])
     deviations = base.join(first, by).select(
         *by, *[F.abs(F.col(c) - F.col(f"{c}_center")).alias(c) for c in columns],
@@ -162,7 +177,7 @@ def robust_stats(
     )
     # Center and std are constant in a group, so they ride along instead of a second join.
     carried = [F.first(f"{c}_{s}").alias(f"{c}_{s}") for c in columns for s in ("center", "std")]
-    second = group_medians(deviations, by, columns, max_group_rows, carried, limit)
+    second = deviations.groupBy(*by).agg(*carried).join(_selected_medians(deviations, by, columns, limit), by, "left")
     scales = [
         scale_of(F.lit(1.4826) * F.col(c), F.col(f"{c}_std"), eps, fallback).alias(f"{c}_scale") for c in columns
     ]

@@ -59,13 +59,13 @@ def score_channels(samples: DataFrame, window: int, step: int, max_windows: int
 def detect(samples: DataFrame, sfreq: float, config: DetectorConfig = DetectorConfig(), strict: bool = False) -> Detection:
     """Detect extreme events in every recording of ``samples`` (one sampling rate).
 
-    Recordings below the quality limit, shorter than a window or with repeated channel names are
-    left out, or fail the run when ``strict``.
+    Recordings below the quality limit, shorter than a window or with repeated channel names have no
+    events but a row with the reasons in the audit trail; they fail the run when ``strict``.
     """
     window, step = config.samples(sfreq)
     summary = cut_lineage(summarise(samples))
     recordings = recordings_of(summary)
-    usable = (F.col("quality") >= config.min_quality) & (F.col("n_samples") >= window) & F.col("unique_names")
+    usable = F.coalesce((F.col("quality") >= config.min_quality) & (F.col("n_samples") >= window) & F.col("unique_names"), F.lit(False))
     facts = recordings.agg(
         F.max("n_samples").alias("longest"), F.count_if(~usable).alias("rejected"),
         F.count_if(F.col("quality") < 1).alias("gappy"), F.min("quality").alias("worst"),
@@ -93,11 +93,15 @@ def detect(samples: DataFrame, sfreq: float, config: DetectorConfig = DetectorCo
             grouped, channel_scores, limits, kept, step, sfreq, config.window_seconds, config.min_involved_channels
         )
     )
-    return Detection(events, audit_log(kept, limits, events, scores), limits, scores, channel_scores, features, kept)
+    reasons = {"quality": ~F.coalesce(F.col("quality") >= config.min_quality, F.lit(False)), "length": F.col("n_samples") < window, "channel names": ~F.col("unique_names")}
+    rejected = recordings.where(~usable).withColumn("reason", F.concat_ws(", ", *[F.when(c, F.lit(r)) for r, c in reasons.items()]))
+    return Detection(events, audit_log(kept, limits, events, scores, rejected), limits, scores, channel_scores, features, kept)
 
 
-def audit_log(recordings: DataFrame, limits: DataFrame, events: DataFrame, scores: DataFrame) -> DataFrame:
-    """recording_id, step, phase, tool, detail: what was measured and decided, in order."""
+def audit_log(recordings: DataFrame, limits: DataFrame, events: DataFrame, scores: DataFrame, rejected: DataFrame) -> DataFrame:
+    """recording_id, step, phase, tool, detail: what was measured and decided, in order.
+
+    A rejected recording has its quality and, as its last step, the reason."""
     def entry(df: DataFrame, order, phase: str, tool: str, **detail) -> DataFrame:
         pairs = [p for k, v in detail.items() for p in (F.lit(k), v.cast("string"))]
         return df.select(*REC, order.alias("step"), F.lit(phase).alias("phase"), F.lit(tool).alias("tool"), F.create_map(*pairs).alias("detail"))
@@ -106,7 +110,8 @@ def audit_log(recordings: DataFrame, limits: DataFrame, events: DataFrame, score
     tries = limits.select(*REC, F.explode("attempts").alias("a")).select(*REC, "a.*")
     accepted = recordings.select(*REC).join(events.groupBy(*REC).agg(F.count("*").alias("n")), REC, "left")
     return (
-        entry(recordings, F.lit(0), "observe", "validate", quality=F.col("quality"))
+        entry(recordings.unionByName(rejected.drop("reason")), F.lit(0), "observe", "validate", quality=F.col("quality"))
+        .unionByName(entry(rejected, F.lit(1000), "finalize", "reject", reason=F.col("reason")))
         .unionByName(entry(windows, F.lit(1), "act", "feature_ensemble", windows=F.col("windows"), features=F.lit(", ".join(DETECTOR_FEATURES))))
         .unionByName(entry(tries, F.col("iteration") + 1, "reflect", "threshold", threshold=F.col("threshold"), candidate_windows=F.col("candidate_windows")))
         .unionByName(entry(accepted, F.lit(1000), "finalize", "verify", accepted_events=F.coalesce("n", F.lit(0))))
