@@ -361,6 +361,13 @@ def test_packing_is_whole_and_tight(spark, rows, edges):
     assert len({r["doc_id"] for r in odd}) == len({r[0] for r in EDGES}) and packing.pack_documents(edges.limit(0)).count() == 0
 
 
+def test_tiny_pieces_are_dealt_by_their_number(spark):
+    tiny = spark.range(50).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "1L AS length", "0L AS ids_crc32")
+    out = packing.pack(tiny, capacity=8, pieces_per_task=10).collect()
+    check_packing(out, 8)
+    assert len(out) == 50 and len({r["sequence_id"] >> 40 for r in out}) == 5
+
+
 def test_sum_of_squares_takes_the_smallest_sum():
     lengths, capacity = np.random.default_rng(4).integers(1, 11, 200), 10
     bins, offsets = packing.sum_of_squares(lengths, capacity)

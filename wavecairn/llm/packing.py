@@ -72,16 +72,16 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets
 
 
-def pack(pieces_table: DataFrame, capacity: int = 2048, bins_per_task: int = 16_384) -> DataFrame:
+def pack(pieces_table: DataFrame, capacity: int = 2048, bins_per_task: int = 16_384, pieces_per_task: int = 2_000_000) -> DataFrame:
     """Sequence and offset of every piece; ``pieces_table`` must be a written table.
 
     The pieces are dealt evenly, by position in the table, to as many groups as their tokens fill
-    ``bins_per_task`` sequences, so a group is bounded whatever the documents are; each group packs its
-    pieces from long to short. Only lengths and keys are shuffled, no ids. An empty table gives no rows.
+    ``bins_per_task`` sequences, or as many more as keep a group at about ``pieces_per_task`` pieces if most
+    are tiny, so a group is bounded whatever the documents are; each group packs its pieces from long to short. Only lengths and keys are shuffled, no ids. An empty table gives no rows.
     Groups share no sequence: a group leaves a few sequences partly empty, out of ``bins_per_task``.
     """
-    tokens = pieces_table.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, -(-tokens // (capacity * bins_per_task)))
+    tokens, rows = pieces_table.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
+    groups = max(1, -(-tokens // (capacity * bins_per_task)), -(-rows // pieces_per_task))
     dealt = pieces_table.withColumn("_group", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))
     names = pieces_table.columns
 
