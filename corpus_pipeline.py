@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated lines out of the texts; n_chars follows."""
-    out = linededup.dedup_lines(docs)
+    out = linededup.dedup_lines(docs, classes=linededup.PRODUCTION)
     return out.select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
 
 

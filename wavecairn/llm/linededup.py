@@ -17,11 +17,13 @@ from wavecairn.llm.components import connected_components
 from wavecairn.session import cut_lineage
 
 INDEX, PROBE = 0, 1
+#: (shorter line's code points from, edits): about one edit for every 50 code points, so that short lines stay apart.
+PRODUCTION = ((20, 1), (60, 2), (120, 3), (200, 4))
 
 
-def segment(goal: Column, i: int, t: int) -> tuple[Column, Column]:
+def segment(goal: Column, i: Column, t: int) -> tuple[Column, Column]:
     """First place (from 0) and length of segment i of the t+1 even segments of a line of length ``goal``."""
-    begin, end = (F.floor(goal * k / (t + 1)).cast("int") if 0 < k <= t else (F.lit(0) if k == 0 else goal) for k in (i, i + 1))
+    begin, end = (F.floor(goal * k / (t + 1)).cast("int") for k in (i, i + 1))
     return begin, end - begin
 
 
@@ -35,42 +37,49 @@ def probes(t: int) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda p: (p[0] != 0 or p[2] != 0, p))
 
 
-def _hash(group: Column, text: Column, size: Column, goal: Column, i: int, shift: int, t: int) -> Column:
+def _table(t: int) -> Column:
+    """``probes`` as an array of structs (n, d, i, o): one small expression a row for any t, not one for every probe."""
+    return F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("ndio", (n, *p))]) for n, p in enumerate(probes(t))])
+
+
+def _hash(group: Column, text: Column, size: Column, goal: Column, i: Column, shift: Column, t: int) -> Column:
     """Hash of the segment at its shifted place; null where that place is not inside the line."""
     begin, length = segment(goal, i, t)
-    key = F.xxhash64(group, F.lit(i), goal, F.substr(text, begin + F.lit(shift + 1), length))
-    return F.when((begin + F.lit(shift) >= 0) & (begin + F.lit(shift) + length <= size), key)
+    key = F.xxhash64(group, i, goal, F.substr(text, begin + shift + 1, length))
+    return F.when((begin + shift >= 0) & (begin + shift + length <= size), key)
 
 
-def segment_keys(lines: DataFrame, t: int, least: int) -> DataFrame:
-    """All keys of (line, text): line, text, size, n (which of ``probes``), key. The row-wise work is kept small."""
+def segment_keys(lines: DataFrame, t: int, least: int, below: int | None = None) -> DataFrame:
+    """All keys of (line, text): line, text, size, n (which of ``probes``), key. The row-wise work is kept small.
+
+    With ``below``, only keys for a shorter line of ``least`` to ``below - 1`` code points.
+    """
     sized = lines.withColumn("size", F.length("text")).where(F.col("size") >= least)
-    keys = [_hash(F.lit(0), F.col("text"), F.col("size"), F.col("size") - d, i, o, t) for d, i, o in probes(t)]
-    return sized.withColumn("keys", F.array(*keys)).select("line", "text", "size", F.posexplode("keys").alias("n", "key")).where("key IS NOT NULL")
+    if below is not None:
+        sized = sized.where(F.col("size") < below + t)
+    tall = sized.select("line", "text", "size", F.explode(_table(t)).alias("p"))
+    goal = F.col("size") - F.col("p.d")
+    if below is not None:
+        tall = tall.where(goal.between(least, below - 1))
+    key = _hash(F.lit(0), F.col("text"), F.col("size"), goal, F.col("p.i"), F.col("p.o"), t)
+    return tall.select("line", "text", "size", F.col("p.n").alias("n"), key.alias("key")).where("key IS NOT NULL")
 
 
 def _described(hits: DataFrame, t: int) -> DataFrame:
     """Role, place, length and goal of the keys that were hit; own segments stand on both sides."""
-    parts = []
-    for n, (d, i, o) in enumerate(probes(t)):
-        begin, length = segment(F.col("size") - d, i, t)
-        parts.append((F.col("n") == n, F.named_struct(F.lit("at"), begin + o, F.lit("length"), length, F.lit("goal"), F.col("size") - d)))
-    place = F.coalesce(*[F.when(c, v) for c, v in parts])
+    named = hits.withColumn("p", F.element_at(_table(t), F.col("n") + 1)).withColumn("goal", F.col("size") - F.col("p.d"))
+    begin, length = segment(F.col("goal"), F.col("p.i"), t)
     role = F.explode(F.when(F.col("n") <= t, F.array(F.lit(INDEX), F.lit(PROBE))).otherwise(F.array(F.lit(PROBE))))
-    return hits.select("key", role.alias("role"), "line", "text", F.col("text").alias("rest"), place.alias("s")).select("key", "role", "line", "text", "rest", "s.*")
+    return named.select("key", role.alias("role"), "line", "text", F.col("text").alias("rest"), (begin + F.col("p.o")).alias("at"), length.alias("length"), "goal")
 
 
 def _refined(rows: DataFrame, t: int) -> DataFrame:
     """Keys of the next level: of the rest of each line, within its key; the index side's rest has length ``goal``."""
-    size, goal, entries = F.length("rest"), F.col("goal"), []
-    for n, (d, i, o) in enumerate(probes(t)):
-        begin, length = segment(goal, i, t)
-        key = _hash(F.col("key"), F.col("rest"), size, goal, i, o, t)
-        asked = (F.col("role") == PROBE) & (size - goal == d)
-        for role, when in ([(INDEX, F.col("role") == INDEX)] if n <= t else []) + [(PROBE, asked)]:
-            entries.append(F.named_struct(F.lit("key"), F.when(when, key), F.lit("role"), F.lit(role), F.lit("at"), begin + o, F.lit("length"), length, F.lit("goal"), goal))
-    tall = rows.withColumn("es", F.array(*entries)).select("line", "text", "rest", F.explode("es").alias("e"))
-    return tall.where("e.key IS NOT NULL").select("line", "text", "rest", "e.*")
+    tall = rows.withColumn("p", F.explode(_table(t))).where(
+        ((F.col("role") == INDEX) & (F.col("p.n") <= t)) | ((F.col("role") == PROBE) & (F.length("rest") - F.col("goal") == F.col("p.d"))))
+    begin, length = segment(F.col("goal"), F.col("p.i"), t)
+    key = _hash(F.col("key"), F.col("rest"), F.length("rest"), F.col("goal"), F.col("p.i"), F.col("p.o"), t)
+    return tall.select(key.alias("key"), "role", "line", "text", "rest", (begin + F.col("p.o")).alias("at"), length.alias("length"), "goal").where("key IS NOT NULL")
 
 
 def _cut_out(rows: DataFrame) -> DataFrame:
@@ -87,14 +96,14 @@ def _pairs(rows: DataFrame, t: int) -> DataFrame:
     return a.withColumnRenamed("key", "k").join(b, (F.col("k") == F.col("key")) & near).select("a", "b")
 
 
-def edit_links(lines: DataFrame, t: int = 1, least: int = 20, pairs_per_key: int = 4096, depth: int = 8) -> DataFrame:
+def edit_links(lines: DataFrame, t: int = 1, least: int = 20, pairs_per_key: int = 4096, depth: int = 8, below: int | None = None) -> DataFrame:
     """Links (a, b) between different lines within ``t`` edits and with the same digits in order.
 
     ``lines`` has line (a hash of the text) and text, occurrences included. Only lines of ``least`` code
-    points or more take part. A key whose index and probe rows would form more than ``pairs_per_key`` pairs
+    points or more take part; with ``below``, only pairs whose shorter line has fewer than that. A key whose index and probe rows would form more than ``pairs_per_key`` pairs
     is refined up to ``depth`` times; what is left then is compared as it is, so no link is lost.
     """
-    keyed = segment_keys(lines, t, least)
+    keyed = segment_keys(lines, t, least, below)
     shared = cut_lineage(
         keyed.groupBy("key").agg(F.min("line").alias("lo"), F.max("line").alias("hi"), F.min("n").alias("n"))
         .where(f"lo <> hi AND n <= {t}").select("key")
@@ -121,19 +130,28 @@ def edit_links(lines: DataFrame, t: int = 1, least: int = 20, pairs_per_key: int
     raise AssertionError("not reached")
 
 
+def class_links(lines: DataFrame, classes: tuple[tuple[int, int], ...]) -> DataFrame:
+    """Links of every length class: (least code points, edits), ascending; the shorter line of a pair decides."""
+    found = None
+    for (least, t), below in zip(classes, [*[c[0] for c in classes[1:]], None]):
+        part = edit_links(lines, t, least, below=below)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """Every line that is not blank: doc, version (hash of the text), place, line, line2 (hashes), text of the line."""
     tall = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("place", "text"))
     return tall.where(F.trim("text") != "").select("doc", "version", "place", F.xxhash64("text").alias("line"), F.xxhash64(F.lit(1), "text").alias("line2"), "text")
 
 
-def line_drops(docs: DataFrame, t: int = 1, least: int = 20) -> DataFrame:
+def line_drops(docs: DataFrame, t: int = 1, least: int = 20, classes: tuple[tuple[int, int], ...] | None = None) -> DataFrame:
     """Places to drop per document: doc, version, places, n_exact, n_near."""
     spread = occurrences(docs)
     listed = cut_lineage(spread.drop("text"))
     here = F.struct("doc", "version", "place")
     single = cut_lineage(listed.groupBy("line", "line2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")))
-    classes = connected_components(edit_links(spread.select("line", "text"), t, least)).withColumnRenamed("node", "line")
+    classes = connected_components(class_links(spread.select("line", "text"), classes or ((least, t),))).withColumnRenamed("node", "line")
     named = single.join(classes, "line", "left").withColumns({
         "c1": F.coalesce("component", "line"), "c2": F.when(F.col("component").isNull(), F.col("line2")).otherwise(F.lit(0))})
     kept = named.where("component IS NOT NULL OR n > 1")
@@ -145,16 +163,17 @@ def line_drops(docs: DataFrame, t: int = 1, least: int = 20) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, t: int = 1, least: int = 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, t: int = 1, least: int = 20, classes: tuple[tuple[int, int], ...] | None = None) -> DataFrame:
     """``docs`` with the text's repeated lines taken out, and n_lines, n_exact, n_near added.
 
     Lines end at a line feed. Of equal lines, and of lines joined by links of at most ``t`` edits with the
-    same digits (both of ``least`` code points or more), the first one stays: smallest doc_id (null first),
+    same digits (both of ``least`` code points or more), the first one stays. ``classes``, as ``PRODUCTION``,
+    stands instead of ``t`` and ``least``: edits by the length of the shorter line. First is: smallest doc_id (null first),
     then text hash, then place. Blank lines stay. A text may become empty; null texts stay null with
     0 lines. Rows with equal doc_id and text are one document and keep the same lines. An empty table gives
     no rows. n_lines counts all lines of the text, n_exact those that equal the kept line, n_near the others.
     """
-    drops = line_drops(docs, t, least)
+    drops = line_drops(docs, t, least, classes)
     names = docs.columns
     base = docs.withColumns({"_version": F.xxhash64("text"), "_lines": F.split("text", "\n")})
     # Measured in places of 4 bytes, a row counting as 16: at most 32 MB are broadcast.

@@ -27,7 +27,7 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document, how many were dropped as equal or near, and the MD5 of the text that is left."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = linededup.dedup_lines(docs)
+    out = linededup.dedup_lines(docs, classes=linededup.PRODUCTION)
     return out.select("doc_id", "n_lines", "n_exact", "n_near", F.md5("text").alias("text_md5"))
 
 
