@@ -3,6 +3,7 @@
 import re
 from collections import defaultdict
 
+import corpus_pipeline
 from wavecairn.llm import linededup, queries
 from tests.llm.test_operators import union
 
@@ -88,3 +89,22 @@ def test_length_classes_equal_brute_force(spark):
     plain = sorted(lines, key=lambda s: (len(s), s))
     want = {frozenset((a, b)) for k, a in enumerate(plain) for b in plain[k + 1 :] if len(a) >= 20 and len(b) - len(a) <= 4 and within(a, b, allowed(len(a), linededup.PRODUCTION))}
     assert got == want and len(want) > 40
+
+
+def test_no_clean_document_leaves_with_language_id(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    clean = {r["doc_id"] for r in docs.collect() if r["lang"] and any(c.isalpha() for c in r["text"] or "")}
+    # The same texts without a label, and beginnings of 20 code points: what stays must not follow the length.
+    bare = docs.withColumns({"doc_id": F.col("doc_id") + 1_000_000, "lang": F.lit(None).cast("string")})
+    short = bare.withColumns({"doc_id": F.col("doc_id") + 1_000_000, "text": F.substr("text", F.lit(1), F.lit(20))})
+    odd = [(-1, "Все люди рождаются свободными и равными в своём достоинстве и правах.", None), (-2, "123 456", "en"), (-3, None, "en"),
+           (-4, "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", None)]
+    more = spark.createDataFrame([(*r, "x", len(r[1] or "")) for r in odd], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    every = docs.unionByName(bare).unionByName(short).unionByName(more.select(docs.columns))
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, every, SF).select("doc_id").collect()}
+    assert clean <= kept and not kept & {-1, -2, -3, -4}
+    assert {d + 1_000_000 for d in clean} <= kept
+    letters = {r["doc_id"] + 2_000_000 for r in docs.collect() if any(c.isalpha() for c in (r["text"] or "")[:20])}
+    assert letters <= kept

@@ -51,6 +51,10 @@ class Model:
         norm = np.sqrt(np.maximum(rows.sum(axis=1), 1.0))
         return (rows @ self.weights) / norm[:, None] + self.bias
 
+    def known(self, rows: np.ndarray) -> np.ndarray:
+        """Share of a text's places that a landmark holds too; it does not follow the length of the text."""
+        return (rows @ self.weights.any(axis=1).astype(np.float32)) / np.maximum(rows.sum(axis=1), 1.0)
+
 
 def fit(packed: np.ndarray, labels: list[str], landmarks: int = 48, ridge: float = 1e-3, block: int = 64) -> Model:
     """Nystrom features from the first ``landmarks`` rows of every language, then ridge regression to +1 and -1.
@@ -119,31 +123,31 @@ def train(docs: DataFrame, allowed: Column, per_language: int = 150, **options)
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """``lang_pred`` and ``score`` for every row, with the columns ``keep`` (doc_id by default).
+    """``lang_pred``, ``score`` and ``known`` for every row, with the columns ``keep`` (doc_id by default).
 
-    ``und`` with score 0 if the text is null or has no letter, or if nothing was learned. Otherwise the
+    ``known`` is the share of the text's n-grams (hashed) that landmarks hold. ``und`` with 0 for both if the text is null or has no letter, or if nothing was learned. Otherwise the
     language with the largest regression value, ties to the first in order; the score is that value moved
     from [-1, 1] to [0, 1]. Texts are read whole; a batch is one matrix product of bounded size.
     """
     spark = docs.sparkSession
     keep = keep or ["doc_id"]
-    if "text" in keep or "lang_pred" in keep or "score" in keep:
-        raise ValueError("keep must not name text, lang_pred or score")
+    if {"text", "lang_pred", "score", "known"} & set(keep):
+        raise ValueError("keep must not name text, lang_pred, score or known")
     shared = spark.sparkContext.broadcast(model)
 
     def run(batch) -> dict:
         known = shared.value
         texts = column(batch, "text").to_pylist()
         usable = [k for k, t in enumerate(texts) if t and has_letter(t)] if known else []
-        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        names, scores, share = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         if usable:
             rows = np.zeros((len(usable), PLACES), dtype=np.float32)
             for row, k in zip(rows, usable):
                 presence(texts[k], row)
             values = known.scores(rows)
-            for k, n, v in zip(usable, values.argmax(axis=1).tolist(), np.clip(values.max(axis=1), -1, 1).tolist()):
-                names[k], scores[k] = known.languages[n], (v + 1) / 2
-        return {**{c: column(batch, c) for c in keep}, "lang_pred": names, "score": scores}
+            for k, n, v, part in zip(usable, values.argmax(axis=1).tolist(), np.clip(values.max(axis=1), -1, 1).tolist(), known.known(rows).tolist()):
+                names[k], scores[k], share[k] = known.languages[n], (v + 1) / 2, part
+        return {**{c: column(batch, c) for c in keep}, "lang_pred": names, "score": scores, "known": share}
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return map_rows(docs.select(*keep, "text"), run, f"{fields}, lang_pred string, score double", 96)
+    return map_rows(docs.select(*keep, "text"), run, f"{fields}, lang_pred string, score double, known double", 96)
