@@ -23,13 +23,18 @@ def _mapping(pairs: dict[str, str], key):
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])[key]
 
 
+def _inside(i, span: int, name: str):
+    """``i``, or an error where a row lies outside the span: the tail of a longer table must not go silently."""
+    return F.when(i.between(0, span - 1), i).otherwise(F.raise_error(F.concat(F.lit(f"{name}: row outside 0 to {span - 1}: "), i.cast("string"))))
+
+
 def hourly(spark: SparkSession, sf: str, gaps: bool = False, planted: bool = False) -> DataFrame:
     """One recording of 720 hourly samples and five channels from ``events``."""
     events = table(spark, sf, "events")
     second = F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH_2024 * 1_000_000
     cells = (
         events.select("event_type", "value", F.floor(second / 3_600_000_000).cast("bigint").alias("i"))
-        .where(F.col("i").between(0, HOURS - 1))
+        .where("i IS NOT NULL").withColumn("i", _inside(F.col("i"), HOURS, "events"))
         .groupBy("event_type", "i")
         .agg(F.round(F.sum("value"), 4).alias("v"))
     )
@@ -56,7 +61,7 @@ def supplier_days(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_suppkey").cast("string").alias("recording_id"), F.concat(F.lit("L"), F.col("l_linenumber")).alias("channel"),
         (F.col("l_linenumber") - 1).cast("int").alias("ch_index"),
         F.datediff("l_shipdate", F.lit("1995-01-01").cast("date")).cast("bigint").alias("i"), "l_quantity",
-    ).where(F.col("i").between(0, DAYS - 1))
+    ).where("i IS NOT NULL").withColumn("i", _inside(F.col("i"), DAYS, "lineitem"))
     keys = ["recording_id", "channel", "ch_index"]
     cells = lines.groupBy(*keys, "i").agg(F.sum("l_quantity").alias("v"))
     # One task would write out the whole grid of a few hundred channels without the explicit count.
