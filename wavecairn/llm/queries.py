@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavecairn.llm import ann, arrow_stream, langid, licenses, linededup, mixing, packing, secrets, simhash, topk
+from wavecairn.llm import ann, arrow_stream, langid, licenses, linededup, mixing, packing, secrets, setsketch, simhash, topk
 from wavecairn.session import shared_folder
 
 
@@ -74,5 +74,9 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(files).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_ann, op3_line_dedup, op4_secrets, op5_language, op6_token_stream, op7_top_k, op8_packing, op9_mixing, op10_licenses)}
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(_table(spark, sf_dir, "documents"), words=5, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_ann, op3_line_dedup, op4_secrets, op5_language, op6_token_stream, op7_top_k, op8_packing, op9_mixing, op10_licenses, op11_minhash)}
 ORACLES: dict[str, str] = {}
