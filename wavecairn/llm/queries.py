@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavecairn.llm import ann, arrow_stream, langid, licenses, linededup, mixing, packing, secrets, setsketch, simhash, topk
+from wavecairn.llm import ann, arrow_stream, langid, licenses, linededup, mixing, packing, secrets, setsketch, simhash, topk, turns
 from wavecairn.session import shared_folder
 
 
@@ -78,5 +78,10 @@ def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(_table(spark, sf_dir, "documents"), words=5, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_ann, op3_line_dedup, op4_secrets, op5_language, op6_token_stream, op7_top_k, op8_packing, op9_mixing, op10_licenses, op11_minhash)}
+def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = _table(spark, sf_dir, "conversations")
+    return turns.digests(talks, *turns.repair(turns.damage(talks)))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_ann, op3_line_dedup, op4_secrets, op5_language, op6_token_stream, op7_top_k, op8_packing, op9_mixing, op10_licenses, op11_minhash, op12_turns)}
 ORACLES: dict[str, str] = {}
