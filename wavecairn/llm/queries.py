@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavecairn.llm import ann, arrow_stream, langid, licenses, linededup, mixing, packing, secrets, setsketch, simhash, topk, turns
+from wavecairn.llm import ann, arrow_stream, filter_audit, langid, licenses, linededup, mixing, packing, secrets, setsketch, simhash, topk, turns
 from wavecairn.session import shared_folder
 
 
@@ -83,5 +83,9 @@ def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.digests(talks, *turns.repair(turns.damage(talks)))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_ann, op3_line_dedup, op4_secrets, op5_language, op6_token_stream, op7_top_k, op8_packing, op9_mixing, op10_licenses, op11_minhash, op12_turns)}
-ORACLES: dict[str, str] = {}
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(spark, f"{sf_dir}/documents.parquet", _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_ann, op3_line_dedup, op4_secrets, op5_language, op6_token_stream, op7_top_k, op8_packing, op9_mixing, op10_licenses, op11_minhash, op12_turns, op13_filter_audit)}
+ORACLES: dict[str, str] = {"op13_filter_audit": filter_audit.ORACLE_SQL}
