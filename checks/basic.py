@@ -10,9 +10,11 @@ from checks.fixtures import (
 )
 from checks.registry import check, final, shape
 from wavecairn.functions import arrays, names, wavelets
-from wavecairn.operators import cleaning, features, framing, montage
+from wavecairn.operators import cleaning, features, framing, montage, panes
 from wavecairn.operators.framing import CHANNEL
 from wavecairn.operators.sequences import nearest
+from wavecairn.plans.analyse import with_montage
+from wavecairn.session import cut_lineage
 
 K = "recording_id channel ch_index#"
 
@@ -234,6 +236,16 @@ def d2(spark, sf):
     return shape(montage.apply_montage(s, pairs), _DERIVED)
 
 
+@check("d2_montage_of_slices", S.query(S.hourly(), "g AS (SELECT * FROM s WHERE NOT (ch_index = 1 AND i BETWEEN 150 AND 430))", "ch AS (SELECT DISTINCT recording_id, channel, ch_index FROM s)", _PAIRS_SQL, _APPLY.replace("JOIN s ", "JOIN g "), select=final(_DERIVED, "der")))
+def d2c(spark, sf):
+    """Arrays of several lengths, one channel with a gap: cut to common blocks, subtracted as arrays."""
+    s = hourly(spark, sf).where(~((F.col("ch_index") == 1) & F.col("i").between(150, 430)))
+    arrays = cut_lineage(framing.pack_blocks(s, 70).select(*CHANNEL, "i0", "v"))
+    both = with_montage(arrays, ("bipolar",), 100)
+    rows = framing.unpack_blocks(both).withColumn("recording_id", F.regexp_replace("recording_id", "#bipolar$", ""))
+    return shape(rows.where("v IS NOT NULL"), _DERIVED)
+
+
 @check("d2_apply_montage_packed", S.query(S.hourly(), _CH_OF_S, _PAIRS_SQL, _APPLY, select=final(_DERIVED, "der")))
 def d2b(spark, sf):
     s = hourly(spark, sf)
@@ -307,11 +319,26 @@ def d8(spark, sf):
 _COUNT = f"{K} w# n# total: first_i#"
 
 
+_UNEVEN = f"{K} w# n# mean: std: low: high: first: last: slope: residual:"
+
+
 @check("e1_assign_windows", S.query(S.supplier_days(), S.windows("s", 28, 7, 2500), """
 g AS (SELECT recording_id, channel, ch_index, w, count(*) AS n, sum(v) AS total, min(i) AS first_i FROM win GROUP BY ALL)""", select=final(_COUNT, "g")))
 def e1(spark, sf):
-    win = framing.assign_windows(supplier_days(spark, sf), 28, 7, F.lit(2500))
-    return shape(win.groupBy(*CHANNEL, "w").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.min("i").alias("first_i")), _COUNT)
+    win = panes.window_sums(supplier_days(spark, sf), 28, 7, F.lit(2500))
+    return shape(win.select(*CHANNEL, "w", "n", "total", "first_i"), _COUNT)
+
+
+@check("e1_uneven_windows", S.query(S.supplier_days(), "g AS (SELECT * EXCLUDE (v), CASE WHEN i % 11 = 3 THEN NULL ELSE v + i / 100.0 END AS v FROM s)", S.windows("g", 30, 7, 2500), """
+o AS (SELECT recording_id, channel, ch_index, w, count(v) AS n, avg(v) AS mean, stddev_pop(v) AS std, min(v) AS low, max(v) AS high,
+  arg_min(v, i) AS first, arg_max(v, i) AS last, regr_slope(v, i) AS slope, greatest(0.0, regr_syy(v, i) / count(v) - regr_sxy(v, i) * regr_sxy(v, i) / (regr_sxx(v, i) * count(v))) AS residual
+  FROM win GROUP BY ALL)""", select=final(_UNEVEN, "o")))
+def e1b(spark, sf):
+    """A step that does not divide the window: two panes a step; missing samples, line fit from the merged sums."""
+    v = F.when(F.col("i") % 11 != 3, F.col("v") + F.col("i") / 100.0)
+    win = panes.window_sums(supplier_days(spark, sf).withColumn("v", v), 30, 7, F.lit(2500))
+    return shape(win.select(*CHANNEL, "w", "n", panes.mean().alias("mean"), F.sqrt(panes.variance()).alias("std"), "low", "high", "first", "last",
+                            panes.slope().alias("slope"), (panes.residual_rms() * panes.residual_rms()).alias("residual")), _UNEVEN)
 
 
 _FEAT = f"{K} w# rms: peak_to_peak: line_length: diff_rms:"
@@ -335,6 +362,26 @@ def e2_crop(spark, sf):
 _TOUCHED = "w * 7 <= 449 AND w * 7 + 27 >= 400"
 
 
+_GAP = "w * 25 <= 1299 AND w * 25 + 99 >= 500"
+
+
+@check("e2_with_absent_blocks", S.query(S.supplier_days(), S.windows("s", 100, 25, 2500), S.detector_features(), f"""
+o AS (SELECT recording_id, channel, ch_index, w, CASE WHEN {_GAP} THEN NULL ELSE rms END AS rms, CASE WHEN {_GAP} THEN NULL ELSE peak_to_peak END AS peak_to_peak,
+  CASE WHEN {_GAP} THEN NULL ELSE line_length END AS line_length, CASE WHEN {_GAP} THEN NULL ELSE diff_rms END AS diff_rms FROM feat)""", select=final(_FEAT, "o")))
+def e2_blocks(spark, sf):
+    """A gap of two whole blocks and more: the directory names them, so no window is lost."""
+    rows = supplier_days(spark, sf).where(~F.col("i").between(500, 1299))
+    got = features.detector_features(features.window_blocks(rows, 100, 25, 300), 100, 25)
+    return shape(got.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in features.DETECTOR_FEATURES}), _FEAT)
+
+
+@check("e2_from_slices", S.query(S.supplier_days(), S.windows("s", 28, 7, 2500), S.detector_features(), select=final(_FEAT, "feat")))
+def e2_slices(spark, sf):
+    """The same features out of arrays that are cut at other borders: slices are shuffled, not samples."""
+    arrays = cut_lineage(framing.pack_blocks(supplier_days(spark, sf), 333).select(*CHANNEL, "i0", "v"))
+    return shape(features.detector_features(features.window_blocks(arrays, 28, 7, 1000), 28, 7), _FEAT)
+
+
 @check("e2_with_absent_rows", S.query(S.supplier_days(), "cut AS (SELECT * FROM s WHERE i NOT BETWEEN 400 AND 449)", S.windows("cut", 28, 7, 2500), S.detector_features(), f"""
 o AS (SELECT recording_id, channel, ch_index, w, CASE WHEN {_TOUCHED} THEN NULL ELSE rms END AS rms, CASE WHEN {_TOUCHED} THEN NULL ELSE peak_to_peak END AS peak_to_peak,
   CASE WHEN {_TOUCHED} THEN NULL ELSE line_length END AS line_length, CASE WHEN {_TOUCHED} THEN NULL ELSE diff_rms END AS diff_rms FROM feat

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavecairn.functions.arrays import finite
-from wavecairn.operators.framing import CHANNEL
+from wavecairn.operators.framing import CHANNEL, is_packed
 from wavecairn.operators.robust import group_medians, scale_of
 
 
@@ -46,10 +46,19 @@ def channel_fills(samples: DataFrame, max_group_rows: int | None = None) -> Data
     Medians are taken over the incomplete channels alone.
     """
     value = finite(F.col("v"))
+    if is_packed(samples):  # only channels with gaps are opened
+        known = F.size(F.filter("v", lambda x: finite(x).isNotNull()))
+        gaps = samples.groupBy(*CHANNEL).agg((F.max(F.col("i0") + F.size("v")) - F.min("i0") - F.sum(known)).alias("missing")).where("missing > 0")
+        opened = samples.join(gaps.select(*CHANNEL), CHANNEL, "left_semi").select(*CHANNEL, F.explode("v").alias("v"))
+        return _fills(gaps, opened, max_group_rows)
     gaps = samples.groupBy(*CHANNEL).agg(
         (F.max("i") - F.min("i") + 1 - F.count(value)).alias("missing"), F.count(value).alias("present")
     ).where("missing > 0")
-    wanted = samples.join(gaps.select(*CHANNEL), CHANNEL, "left_semi").select(*CHANNEL, value.alias("fill"))
+    return _fills(gaps, samples.join(gaps.select(*CHANNEL), CHANNEL, "left_semi"), max_group_rows)
+
+
+def _fills(gaps: DataFrame, samples: DataFrame, max_group_rows: int | None) -> DataFrame:
+    wanted = samples.select(*CHANNEL, finite(F.col("v")).alias("fill"))
     medians = group_medians(wanted, CHANNEL, ["fill"], max_group_rows)
     return gaps.select(*CHANNEL).join(medians, CHANNEL, "left").withColumn("fill", F.coalesce("fill", F.lit(0.0)))
 

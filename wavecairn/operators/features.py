@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavecairn.functions.arrays import finite
-from wavecairn.operators.framing import CHANNEL, assign_windows, block_length, pack_blocks, per_block, tumbling
+from wavecairn.operators import panes
+from wavecairn.operators.framing import CHANNEL, block_length, pack_blocks, per_block, tumbling
 
 DETECTOR_FEATURES = ["rms", "peak_to_peak", "line_length", "diff_rms"]
 _FIELDS = [("w", T.LongType())] + [(name, T.DoubleType()) for name in DETECTOR_FEATURES]
@@ -96,12 +97,8 @@ def stat_features(samples: DataFrame, window: int, n_samples) -> DataFrame:
 
 
 def band_energy(filtered: DataFrame, window: int, step: int, n_samples) -> DataFrame:
-    """Mean of the squared signal per window; the per-window sums combine before the shuffle."""
-    return (
-        assign_windows(filtered, window, step, n_samples)
-        .groupBy(*CHANNEL, "w")
-        .agg(F.avg(F.col("v") * F.col("v")).alias("energy"))
-    )
+    """Mean of the squared signal per window, from panes: no sample is repeated."""
+    return panes.window_sums(filtered, window, step, n_samples).select(*CHANNEL, "w", panes.energy().alias("energy"))
 
 
 def wave_template(waves: DataFrame, max_group_rows: int | None = None) -> DataFrame:

@@ -40,40 +40,85 @@ def block_length(window: int, step: int, target: int = 8192) -> int:
     return step * max(-(-window // step), target // step, 1)
 
 
+def is_packed(samples: DataFrame) -> bool:
+    """Arrays ``v`` from sample ``i0`` on (as the sources give them), not single samples ``i``, ``v``."""
+    return "i0" in samples.columns
+
+
+def spans(samples: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """First and last sample of every channel (lo, hi); arrays are measured, not opened."""
+    keys = keys or CHANNEL
+    last = F.col("i0") + F.size("v") - 1 if is_packed(samples) else F.col("i")
+    return samples.groupBy(*keys).agg(F.min("i0" if is_packed(samples) else "i").alias("lo"), F.max(last).alias("hi"))
+
+
+def _routed(samples: DataFrame, block: int, before: int, after: int, keys: list[str]) -> DataFrame:
+    """Samples or slices of arrays, sent to every block that owns them or has them in its halo: keys, block, at, part."""
+    own = F.floor(F.col("i") / block)
+    if is_packed(samples):
+        end = F.col("i0") + F.size("v")
+        low, high = F.greatest(F.lit(0), F.floor((F.col("i0") - after) / block)), F.floor((end - 1 + before) / block)
+        sent = samples.where(F.size("v") > 0).select(*keys, "i0", "v", F.explode(F.sequence(low.cast("bigint"), high.cast("bigint"))).alias("block"))
+        at = F.greatest(F.col("i0"), F.col("block") * block - before)
+        stop = F.least(F.col("i0") + F.size("v"), (F.col("block") + 1) * block + after)
+        part = F.slice("v", (at - F.col("i0") + 1).cast("int"), (stop - at).cast("int"))
+        return _dealt(sent.where(stop > at).select(*keys, "block", at.alias("at"), part.alias("part")), keys)
+    offset = F.col("i") - own * block
+    first = F.when((offset < after) & (own > 0), own - 1).otherwise(own) if after else own
+    last = F.when(offset >= block - before, own + 1).otherwise(own) if before else own
+    home = F.explode(F.sequence(first, last)) if before or after else own
+    return _dealt(samples.select(*keys, home.alias("block"), F.col("i").alias("at"), F.col("v").alias("part")), keys)
+
+
+def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One exchange by channel and block. A channel is never null; said here, no join infers it on one side only."""
+    for k in [*keys, "block"]:
+        rows = rows.where(F.col(k).isNotNull())
+    return rows.repartition(*keys, "block")
+
+
 def pack_blocks(
     samples: DataFrame, block: int, before: int = 0, after: int = 0, keys: list[str] | None = None
 ) -> DataFrame:
     """Arrays of consecutive samples per channel: ``block`` own samples plus a halo on either side.
 
-    One shuffle of the samples by (channel, block): only halo samples are sent twice, and a group
-    never holds more than block + before + after samples, however long the recording is.
+    ``samples`` are single samples (i, v) or arrays (i0, v), which are cut at the borders and sent as slices: no
+    sample becomes a row. One shuffle by (channel, block): only halo samples are sent twice, and a group never
+    holds more than block + before + after samples, however long the recording is. The directory of blocks, from
+    the first to the last sample of each channel, is read off the same shuffle. A block that it names exists
+    even if no sample fell into it, and absent samples are missing values: a gap in the rows gives the same
+    arrays as missing values in its place.
     Returns keys, block, i0 (index of the first element), own0 (first own sample) and v. ``i0`` is after
     ``own0`` where a recording (or what is left of it after a crop) begins inside the block.
     """
     if max(before, after) > block:
         raise ValueError("the halo must not be longer than a block")
     keys = keys or CHANNEL
-    own = F.floor(F.col("i") / block)
-    offset = F.col("i") - own * block
-    first = F.when((offset < after) & (own > 0), own - 1).otherwise(own) if after else own
-    last = F.when(offset >= block - before, own + 1).otherwise(own) if before else own
-    home = F.explode(F.sequence(first, last)) if before or after else own
+    routed = _routed(samples, block, before, after, keys)
+    sliced = is_packed(samples)
+    kind = samples.schema["v"].dataType.elementType if sliced else samples.schema["v"].dataType
     # Rows are shuffled as they are and collected once; a map-side collect would not shrink them.
-    packed = (
-        samples.select(*keys, "i", "v", home.alias("block"))
-        .repartition(*keys, "block")
-        .groupBy(*keys, "block")
-        .agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("_points"))
-    )
-    # Absent rows become missing samples: positions in ``v`` are always i - i0.
-    first, last = F.col("_points")[0]["i"], F.element_at("_points", -1)["i"]
-    absent = F.array_except(F.sequence(first, last), F.col("_points")["i"])
-    empty = F.lit(None).cast(samples.schema["v"].dataType)
-    filled = F.sort_array(F.concat("_points", F.transform(absent, lambda k: F.struct(k.alias("i"), empty.alias("v")))))
-    whole = F.when(F.size("_points") == last - first + 1, F.col("_points")).otherwise(filled)
-    return packed.select(
-        *keys, "block", first.alias("i0"), (F.col("block") * block).alias("own0"), whole["v"].alias("v")
-    ).where(F.col("i0") + F.size("v") > F.col("own0"))
+    packed = routed.groupBy(*keys, "block").agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("_parts"))
+    # Both sides name the same columns of the same exchange, so Spark runs it once.
+    end = F.col("at") + F.size("part") - 1 if sliced else F.col("at")
+    known = routed.groupBy(*keys).agg(F.min(F.struct("at", "part"))["at"].alias("_lo"), F.max(F.struct(end.alias("end"), "part"))["end"].alias("_hi"))
+    blocks = known.select(*keys, "_lo", "_hi", F.explode(F.sequence(F.floor(F.col("_lo") / block), F.floor(F.col("_hi") / block))).alias("block"))
+    placed = packed.join(blocks, [*keys, "block"], "right")
+    first = F.greatest(F.col("_lo"), F.col("block") * block - before)
+    last = F.least(F.col("_hi"), (F.col("block") + 1) * block - 1 + after)
+    missing = F.lit(None).cast(kind)
+    parts = F.coalesce("_parts", F.array().cast(packed.schema["_parts"].dataType))
+    if sliced:
+        begin = F.array().cast(T.ArrayType(kind))
+        joined = lambda done, p: F.concat(done, F.array_repeat(missing, (p["at"] - F.col("i0")).cast("int") - F.size(done)), p["part"])
+        whole = F.aggregate("_parts", begin, joined)
+        values = F.concat("_v", F.array_repeat(missing, F.col("_n") - F.size("_v")))
+        filled = placed.select(*keys, "block", first.alias("i0"), (last - first + 1).cast("int").alias("_n"), parts.alias("_parts"))
+        return filled.withColumn("_v", whole).select(*keys, "block", "i0", (F.col("block") * block).alias("own0"), values.alias("v"))
+    absent = F.array_except(F.sequence(first, last), F.col("_parts")["at"])
+    full = F.sort_array(F.concat("_parts", F.transform(absent, lambda k: F.struct(k.alias("at"), missing.alias("part")))))
+    whole = F.when(F.size("_parts") == last - first + 1, F.col("_parts")).otherwise(full)
+    return placed.withColumn("_parts", parts).select(*keys, "block", first.alias("i0"), (F.col("block") * block).alias("own0"), whole["part"].alias("v"))
 
 
 def per_block(

@@ -45,8 +45,10 @@ def apply_montage(values: DataFrame, pairs: DataFrame, key: str = "i", differenc
                           F.struct(F.col("channel_b").alias("channel"), F.lit(False).alias("first")))).alias("m"),
     ).select(*REC, "label", "pair_index", "m.channel", "m.first")
     difference = difference or (lambda a, b: a - b)
+    if difference is aligned_difference:
+        values = values.select(*REC, "channel", key, F.struct("i0", "v").alias("v"))
     carried = [c for c in ("i0", "own0") if c in values.columns]
-    return (
+    found = (
         values.join(members, [*REC, "channel"])
         .groupBy(*REC, "label", "pair_index", key)
         .agg(
@@ -60,12 +62,24 @@ def apply_montage(values: DataFrame, pairs: DataFrame, key: str = "i", differenc
             difference(F.col("_a"), F.col("_b")).alias("v"),
         )
     )
+    if difference is not aligned_difference:
+        return found
+    opened = found.select(*[c for c in found.columns if c != "v"], "v.i0", "v.v")
+    return opened.where(F.size("v") > 0)
 
 
 def array_difference(a, b):
     return F.zip_with(a, b, lambda x, y: x - y)
 
 
+def aligned_difference(a, b):
+    """Difference of arrays with their first places, where both have samples: struct (i0, v)."""
+    begin = F.greatest(a["i0"], b["i0"])
+    end = F.least(a["i0"] + F.size(a["v"]), b["i0"] + F.size(b["v"]))
+    cut = lambda x: F.slice(x["v"], (begin - x["i0"] + 1).cast("int"), F.greatest(F.lit(0), end - begin).cast("int"))
+    return F.struct(begin.alias("i0"), array_difference(cut(a), cut(b)).alias("v"))
+
+
 def format_montage(pairs: DataFrame) -> DataFrame:
     """One text per recording: shaft headers with indented contact pairs."""
     line = F.concat(F.lit("  "), F.col("contact_a").cast("string"), F.lit("-"), F.col("contact_b").cast("string"))

@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from wavecairn.config import RecruitmentConfig
 from wavecairn.functions.names import REGION, in_region
-from wavecairn.operators.framing import CHANNEL, assign_windows
+from wavecairn.operators import panes
+from wavecairn.operators.framing import CHANNEL, is_packed
 from wavecairn.operators.robust import robust_z
+from wavecairn.session import cut_lineage
 
 REC = ["recording_id"]
 
 
 def event_context(samples: DataFrame, context: DataFrame, sfreq: float, baseline: float, analysis: float) -> DataFrame:
-    """Samples of [t - baseline, t + analysis + 0.5], re-numbered from the context start.
+    """Samples (or arrays of them) of [t - baseline, t + analysis + 0.5], re-numbered from the context start.
 
     Adds time_s and context_s (start of the context). Recordings without an event drop out.
     """
@@ -24,6 +26,10 @@ def event_context(samples: DataFrame, context: DataFrame, sfreq: float, baseline
         F.floor(start * sfreq).cast("bigint").alias("_from"),
         F.ceil((F.col("time_s") + analysis + 0.5) * sfreq).cast("bigint").alias("_to"),
     )
+    if is_packed(samples):
+        begin, end = F.greatest("i0", "_from"), F.least(F.col("i0") + F.size("v"), F.col("_to"))
+        part = F.slice("v", (begin - F.col("i0") + 1).cast("int"), (end - begin).cast("int"))
+        return samples.join(bounds, REC).where(begin < end).select(*CHANNEL, (begin - F.col("_from")).alias("i0"), part.alias("v"), "time_s", "context_s")
     return (
         samples.join(bounds, REC)
         .where((F.col("i") >= F.col("_from")) & (F.col("i") < F.col("_to")))
@@ -36,14 +42,18 @@ def energy_z(filtered: DataFrame, window: int, step: int, sfreq: float, baseline
 
     Windows are labelled by their centre. Recordings with fewer than 4 baseline windows drop out.
     """
-    length = filtered.groupBy(*REC).agg((F.max("i") + 1).alias("_n"))
-    energy = (
-        assign_windows(filtered.join(length, REC), window, step, F.col("_n"))
-        .groupBy(*CHANNEL, "w", "time_s", "context_s")
-        .agg(F.avg(F.col("v") * F.col("v")).alias("energy"))
-        .withColumn("t", F.col("context_s") + (F.col("w") * step + window / 2) / F.lit(float(sfreq)))
-    )
-    return standardise_energy(energy, baseline, max_rows)
+    keys = [*CHANNEL, "time_s", "context_s"]
+    # The signal is read once; lengths come from its panes.
+    sums = cut_lineage(panes.pane_sums(filtered, window, step, keys).select(*keys, "pane", "n", "squares", "last_i"))
+    length = sums.groupBy(*REC).agg((F.max("last_i") + 1).alias("_n"))
+    blank = [F.lit(None).cast("double").alias(c) for c in ("total", "places", "place_squares", "moment", "low", "high", "first_i", "first", "last")]
+    merged = panes.merge_panes(sums.join(length, REC).select("*", *blank), window, step, F.col("_n"), keys)
+    return standardise_energy(labelled(merged.select(*keys, "w", panes.energy().alias("energy")), window, step, sfreq), baseline, max_rows)
+
+
+def labelled(energy: DataFrame, window: int, step: int, sfreq: float) -> DataFrame:
+    """Window energies with the time of the window's centre, written once: its three readers follow."""
+    return cut_lineage(energy.withColumn("t", F.col("context_s") + (F.col("w") * step + window / 2) / F.lit(float(sfreq))))
 
 
 def standardise_energy(energy: DataFrame, baseline: float, max_rows: int | None = None) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavecairn.functions.wavelets import decompose_rows, rebuild_rows, usable_level
-from wavecairn.operators.framing import CHANNEL, assign_windows, pack_blocks, per_block
+from wavecairn.operators import panes
+from wavecairn.operators.framing import CHANNEL, pack_blocks, per_block
 
 REC = ["recording_id"]
 # Canonical rhythm bands in Hz.
@@ -105,6 +106,25 @@ def bandpass_context(context: DataFrame, low: float, high: float, sfreq: float,
     return per_block(packed, kernel, [("i", T.LongType()), ("v", T.DoubleType())], keys)
 
 
+def band_energy_context(context: DataFrame, low: float, high: float, sfreq: float, block: int, window: int, step: int) -> DataFrame:
+    """Mean squared band-passed signal per complete window ``w`` of short contexts, in one pass.
+
+    The filter and the windows are one kernel on a context's array: no filtered sample leaves the task.
+    """
+    keys = [*CHANNEL, "time_s", "context_s"]
+
+    def kernel(values: np.ndarray, row: dict) -> dict[str, np.ndarray]:
+        _one_block(row, block)
+        first = -(-row["i0"] // step)
+        filtered = zero_phase(_known(values), low, high, sfreq)[first * step - row["i0"] :]
+        if len(filtered) < window:
+            return {"w": np.empty(0, dtype=np.int64), "energy": np.empty(0)}
+        frames = np.lib.stride_tricks.sliding_window_view(filtered, window)[::step]
+        return {"w": first + np.arange(len(frames)), "energy": np.mean(frames * frames, axis=1)}
+
+    return per_block(pack_blocks(context, block, keys=keys), kernel, [("w", T.LongType()), ("energy", T.DoubleType())], keys)
+
+
 def bandpass(samples: DataFrame, low: float, high: float, sfreq: float, block: int, margin: int) -> DataFrame:
     """Zero-phase band-pass of whole recordings, block by block with a margin on both sides."""
 
@@ -134,7 +154,7 @@ def order_from_phases(phases: DataFrame, window: int, step: int, n_samples, by:
     """Window mean of the synchrony of all channels at every sample, from phases."""
     by = by or REC
     instant = phases.groupBy(*by, "i").agg(F.hypot(F.avg(F.cos("phase")), F.avg(F.sin("phase"))).alias("r"))
-    return assign_windows(instant, window, step, n_samples).groupBy(*by, "w").agg(F.avg("r").alias("order"))
+    return panes.window_sums(instant, window, step, n_samples, by, F.col("r")).select(*by, "w", panes.mean().alias("order"))
 
 
 def kuramoto_order(
@@ -177,7 +197,8 @@ def kuramoto_order(
         .groupBy(*REC, "band", (F.col("own0") + F.col("k")).alias("i"))
         .agg((F.hypot(F.sum("c.re"), F.sum("c.im")) / F.sum("n")).alias("r"))
     )
-    return assign_windows(instant, window, step, n_samples).groupBy(*REC, "band", "w").agg(F.avg("r").alias("order"))
+    by = [*REC, "band"]
+    return panes.window_sums(instant, window, step, n_samples, by, F.col("r")).select(*by, "w", panes.mean().alias("order"))
 
 
 def cwt_frequencies(low: float, high: float, sfreq: float, voices: int = 12) -> np.ndarray:

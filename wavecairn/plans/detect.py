@@ -11,7 +11,7 @@ from wavecairn.config import DetectorConfig
 from wavecairn.functions.arrays import finite, top_mean
 from wavecairn.operators.events import merge_by_gap, ranked, verify_events
 from wavecairn.operators.features import DETECTOR_FEATURES, detector_features, window_blocks
-from wavecairn.operators.framing import CHANNEL
+from wavecairn.operators.framing import CHANNEL, is_packed
 from wavecairn.operators.cleaning import channel_fills
 from wavecairn.operators.robust import channel_consensus, global_threshold, relax_threshold, robust_z
 from wavecairn.session import cut_lineage
@@ -30,7 +30,13 @@ class Detection(NamedTuple):
 
 
 def summarise(samples: DataFrame) -> DataFrame:
-    """One row per channel: samples present and missing, length. One pass with map-side combine."""
+    """One row per channel: samples present and missing, length. One pass with map-side combine, arrays as they are."""
+    if is_packed(samples):
+        known = F.size(F.filter("v", lambda x: finite(x).isNotNull()))
+        end = F.col("i0") + F.size("v")
+        return samples.groupBy(*CHANNEL).agg(
+            F.sum(known).alias("present"), (F.max(end) - F.min("i0") - F.sum(known)).alias("missing"), F.max(end).alias("n_samples")
+        )
     present = F.count(finite(F.col("v")))
     return samples.groupBy(*CHANNEL).agg(
         present.alias("present"), (F.max("i") - F.min("i") + 1 - present).alias("missing"), (F.max("i") + 1).alias("n_samples")
@@ -59,6 +65,7 @@ def score_channels(samples: DataFrame, window: int, step: int, max_windows: int
 def detect(samples: DataFrame, sfreq: float, config: DetectorConfig = DetectorConfig(), strict: bool = False) -> Detection:
     """Detect extreme events in every recording of ``samples`` (one sampling rate).
 
+    ``samples`` are single samples (i, v) or, as the sources give them, arrays (i0, v), which are shuffled as slices.
     Recordings below the quality limit, shorter than a window or with repeated channel names have no
     events but a row with the reasons in the audit trail; they fail the run when ``strict``.
     """
