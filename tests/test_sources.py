@@ -114,3 +114,85 @@ def test_sinks(spark, tmp_path):
     edges = spark.createDataFrame([("r", 1, "a", "b", 0.5), ("r", 2, "b", "c", -0.7)], "recording_id string, w int, src string, dst string, weight double")
     stored = tables.write_graph(edges, str(tmp_path / "graph"))
     assert stored.count() == 4 and [tuple(r) for r in tables.read_window(stored, 2).collect()] == [("r", 2, "b", "c", -0.7)]
+
+
+def counted(monkeypatch, module):
+    """Bytes that a reader takes from its files, in this process."""
+    read = []
+    opened = module._open
+
+    class Counting:
+        def __init__(self, stream):
+            self.stream = stream
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *rest):
+            self.stream.close()
+
+        def read(self, n):
+            raw = self.stream.read(n)
+            read.append(len(raw))
+            return raw
+
+        def __getattr__(self, name):
+            return getattr(self.stream, name)
+
+    monkeypatch.setattr(module, "_open", lambda base, path: Counting(opened(base, path)))
+    return read
+
+
+def test_ranges_and_recordings_become_byte_runs(spark, corpus, monkeypatch):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, LessThan
+
+    from wavecairn.sources import edf
+
+    root, ramp = corpus
+    blocks = read_edf(spark, str(root), read_bytes=1000)
+    near = blocks.where("recording_id = 'one' AND i0 < 500 AND i1 > 300")
+    rows = unpack_blocks(near.where("channel = 'EEG A1'")).where("i >= 300 AND i < 500").orderBy("i").toPandas()
+    np.testing.assert_allclose(rows["v"], ramp[0][300:500], atol=2e-9)
+    read = counted(monkeypatch, edf)
+    reader = edf.EdfReader({"path": str(root), "read_bytes": "1000"}, "blocks")
+    assert list(reader.pushFilters([EqualTo(("recording_id",), "one"), LessThan(("i0",), 500), GreaterThan(("i1",), 300)])) == []
+    parts = reader.partitions()
+    assert [p.recording_id for p in parts] == ["one"]
+    got = [b for p in parts for b in reader.read(p)]
+    assert sorted({x for b in got for x in b.column(3).to_pylist()}) == [300, 400]
+    record = 2 * (3 * 100 + 60)
+    assert sum(read) == 256 * 5 + 2 * record
+
+
+def test_annotations_read_their_own_bytes(spark, corpus, monkeypatch):
+    from wavecairn.sources import edf
+
+    root, _ = corpus
+    read = counted(monkeypatch, edf)
+    reader = edf.EdfReader({"path": str(root / "one.edf")}, "annotations")
+    assert len([r for p in reader.partitions() for r in reader.read(p)]) == 2
+    assert sum(read) == 256 * 5 + 10 * 120
+
+
+def test_npy_headers_are_read_by_tasks(spark, tmp_path, monkeypatch):
+    from wavecairn.sources import npy
+
+    data = np.random.default_rng(1).normal(size=(3, 5000))
+    np.save(tmp_path / "c.npy", data)
+    np.save(tmp_path / "f.npy", np.asfortranarray(data))
+    monkeypatch.setattr(npy, "_open", lambda *_: pytest.fail("the driver opened a file"))
+    reader = npy.NpyReader({"path": str(tmp_path), "part_bytes": "50000"})
+    assert len(reader.partitions()) == 6
+    monkeypatch.undo()
+    read = counted(monkeypatch, npy)
+    found = {}
+    for p in reader.partitions():
+        for b in reader.read(p):
+            for r in b.to_pylist():
+                found.setdefault((r["recording_id"], r["ch_index"]), []).append((r["i0"], r["i1"], r["v"]))
+    assert sum(read) < 2 * data.nbytes + 6 * 200
+    for rid in "cf":
+        for c in range(3):
+            runs = sorted(found[rid, c])
+            assert [x[0] for x in runs][1:] == [x[1] for x in runs][:-1]
+            np.testing.assert_array_equal(np.concatenate([x[2] for x in runs]), data[c])

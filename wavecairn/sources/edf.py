@@ -4,7 +4,9 @@
     spark.read.format("edf_blocks").option("mode", "blocks").load("/data/corpus")
 
 The driver lists files and their sizes only; headers and samples are read by the tasks, each one a
-run of data records of one file. Modes: blocks, header, channels, annotations.
+run of data records of one file. Modes: blocks, header, channels, annotations. A block holds the samples
+i0 to i1 - 1. Predicates on recording_id choose the files, those on i0 and i1 the runs of records that are
+read (``i0 < end AND i1 > begin`` is the overlap with a range), those on channel what is scaled and sent.
 """
 
 from __future__ import annotations
@@ -18,15 +20,16 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, IsNotNull
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from wavecairn.functions.names import MARKER
+from wavecairn.sources.pushdown import Pushed
 
 # Text encoding of the header and annotations, unit factors to volts.
 ENCODING = "cp1251"
 TO_VOLTS = {"V": 1.0, "mV": 1e-3, "uV": 1e-6, "µV": 1e-6, "nV": 1e-9}
 SCHEMAS = {
-    "blocks": "recording_id string, channel string, ch_index int, i0 bigint, v array<double>",
+    "blocks": "recording_id string, channel string, ch_index int, i0 bigint, i1 bigint, v array<double>",
     "header": "recording_id string, path string, sfreq double, start timestamp, n_samples bigint, duration_s double, n_channels int",
     "channels": "recording_id string, ch_index int, channel string, kind string, unit string",
     "annotations": "recording_id string, onset double, description string",
@@ -139,26 +142,17 @@ class EdfReader(DataSourceReader):
         self.tmin = float(options.get("tmin", 0.0))
         self.tmax = float(options["tmax"]) if options.get("tmax") else None
         self.part_bytes = int(options.get("part_bytes", PART_BYTES))
-        self.channels: set[str] | None = None
+        self.read_bytes = int(options.get("read_bytes", READ_BYTES))
+        self.pushed = Pushed(["recording_id", "channel"], ["i0", "i1"]) if mode == "blocks" else Pushed(["recording_id"], [])
 
     def pushFilters(self, filters):
-        """Channel predicates choose which signals are scaled and sent to Spark."""
-        for f in filters:
-            if self.mode == "blocks" and isinstance(f, EqualTo) and f.attribute == ("channel",):
-                self._narrow({f.value})
-            elif self.mode == "blocks" and isinstance(f, In) and f.attribute == ("channel",):
-                self._narrow(set(f.value))
-            elif isinstance(f, IsNotNull) and f.attribute == ("channel",):
-                continue
-            else:
-                yield f
-
-    def _narrow(self, names: set[str]) -> None:
-        self.channels = names if self.channels is None else self.channels & names
+        return [f for f in filters if not self.pushed.take(f)]
 
     def partitions(self):
         parts = []
         for path, rid, size in list_files(self.base, ".edf"):
+            if not self.pushed.allows(recording_id=rid):
+                continue
             count = max(1, math.ceil(size / self.part_bytes)) if self.mode in ("blocks", "annotations") else 1
             parts += [FilePart(path, rid, k, count) for k in range(count)]
         return parts
@@ -177,7 +171,7 @@ class EdfReader(DataSourceReader):
         ]
         if not chosen and self.kind == "signal":
             raise ValueError("no signal channels besides markers")
-        return [c for c in chosen if self.channels is None or header.labels[c[0]] in self.channels]
+        return [c for c in chosen if self.pushed.allows(channel=header.labels[c[0]])]
 
     def _read_header(self, part, header: Header, stream):
         start = header.start
@@ -189,11 +183,13 @@ class EdfReader(DataSourceReader):
             kind = "marker" if re.match(MARKER, header.labels[k]) else "signal"
             yield (part.recording_id, n, header.labels[k], kind, header.units[k])
 
-    def _records(self, part, header: Header, stream, first: int, last: int):
-        """Arrays [records, values per record] of int16, a bounded number of records at a time."""
-        step = max(1, READ_BYTES // header.record_bytes)
+    def _records(self, part, header: Header, stream, first: int, last: int, wanted=lambda begin, end: True):
+        """Arrays [records, values per record] of int16, a bounded number of records at a time; unwanted runs are skipped."""
+        step = max(1, self.read_bytes // header.record_bytes)
         for begin in range(first, last, step):
             count = min(step, last - begin)
+            if not wanted(begin, begin + count):
+                continue
             stream.seek(header.header_bytes + begin * header.record_bytes)
             raw = stream.read(count * header.record_bytes)
             yield begin, np.frombuffer(raw, dtype="<i2").reshape(count, -1)
@@ -216,31 +212,35 @@ class EdfReader(DataSourceReader):
         first, last = self._span(part, header)
         first, last = max(first, low // per), min(last, high // per + 1)
         columns = np.concatenate([[0], np.cumsum(header.counts)])
-        for begin, matrix in self._records(part, header, stream, first, last):
-            a, b = max(low, begin * per), min(high + 1, (begin + len(matrix)) * per)
-            if a >= b:
-                continue
+        border = lambda begin, end: (max(low, begin * per), min(high + 1, end * per))
+
+        def overlaps(begin: int, end: int) -> bool:
+            a, b = border(begin, end)
+            return a < b and self.pushed.allows(i0=a, i1=b)
+
+        for begin, matrix in self._records(part, header, stream, first, last, overlaps):
+            a, b = border(begin, begin + len(matrix))
             cut = slice(a - begin * per, b - begin * per)
             rows = [matrix[:, columns[k] : columns[k + 1]].ravel()[cut] * header.factor[k] + header.offset[k] for k, _ in wanted]
             sizes = np.arange(0, (len(rows) + 1) * (b - a), b - a, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([part.recording_id] * len(rows)), pa.array([header.labels[k] for k, _ in wanted]),
-                    pa.array([n for _, n in wanted], pa.int32()), pa.array([a] * len(rows), pa.int64()),
+                    pa.array([n for _, n in wanted], pa.int32()), pa.array([a] * len(rows), pa.int64()), pa.array([b] * len(rows), pa.int64()),
                     pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(rows))),
                 ],
-                names=["recording_id", "channel", "ch_index", "i0", "v"],
+                names=["recording_id", "channel", "ch_index", "i0", "i1", "v"],
             )
 
     def _read_annotations(self, part, header: Header, stream):
         texts = [k for k, label in enumerate(header.labels) if label == "EDF Annotations"]
         columns = np.concatenate([[0], np.cumsum(header.counts)])
         first, last = self._span(part, header)
-        for _, matrix in self._records(part, header, stream, first, last):
-            for record in matrix:
-                for k in texts:
-                    for onset, text in parse_annotations(record[columns[k] : columns[k + 1]].tobytes()):
-                        yield (part.recording_id, onset, text)
+        for record in range(first, last):  # only the bytes of the texts are read
+            for k in texts:
+                stream.seek(header.header_bytes + record * header.record_bytes + 2 * int(columns[k]))
+                for onset, text in parse_annotations(stream.read(2 * int(header.counts[k]))):
+                    yield (part.recording_id, onset, text)
 
 
 def parse_annotations(raw: bytes):
