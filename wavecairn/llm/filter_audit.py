@@ -11,7 +11,6 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 from itertools import permutations
 
 import numpy as np
@@ -26,11 +25,12 @@ from wavecairn.session import cut_lineage, shared_folder
 
 FILTERS = "ABCDE"
 SHARED = 1 << FILTERS.index("E")
-#: State of a text: least doc_id, and the parts of the rows that have it with their numbers of rows.
-STATE = "doc_id bigint, parts array<string>, numbers array<bigint>"
+#: State of a bucket of texts, row by row: hashes of the text, its least doc_id, and for each part how many rows have both.
+STATE = "h1 array<bigint>, h2 array<bigint>, doc_id array<bigint>, part array<string>, mask array<int>, change array<bigint>"
+HELD = ["h1", "h2", "doc_id", "part", "mask", "change"]
 CHANGE = "doc_id bigint, part string, mask int, change bigint"
-#: Buckets of rows that need no state, so that one call handles many of them.
-BUCKETS = 512
+#: Rows that need no state are dealt to so many keys below zero.
+BYPASS = 512
 
 
 def text_mask(text: Column) -> Column:
@@ -42,85 +42,50 @@ def text_mask(text: Column) -> Column:
     return sum((F.when(c, 1 << k).otherwise(0) for k, c in enumerate(fails)), F.lit(0)).cast("int")
 
 
-def _routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every row as a change to be passed on by its bucket, and the least rows of each text of a batch to its state.
+def _routed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows to the bucket of their text; those that a smaller doc_id of the same batch beats pass by.
 
-    Rows that are beaten within their batch have their final mask already: of a text that very many documents
-    share, a batch sends few rows to its state.
+    Such a row has its final mask and needs no state, nor does one without doc_id. Of a text that very many
+    documents share, a batch so sends few rows to the bucket.
     """
     for batch in batches:
         t = batch.to_pandas(integer_object_nulls=False, types_mapper={pa.int64(): pd.Int64Dtype()}.get)
         least = t.groupby(["h1", "h2"])["doc_id"].transform("min")
-        beaten = (t["doc_id"] > least).fillna(False).astype(bool)
-        passed = t.assign(mask=t["mask"] | np.where(beaten, SHARED, 0), key=t["h1"] % BUCKETS, text=False)
-        passed["key"] = np.arange(len(passed)) % BUCKETS
-        kept = t[~beaten & t["doc_id"].notna()].assign(key=0, text=True)
-        both = pd.concat([passed.assign(h1=0, h2=0), kept], ignore_index=True)
-        yield pa.RecordBatch.from_pandas(both[["text", "h1", "h2", "key", "doc_id", "part", "mask"]], schema=_ROUTED, preserve_index=False)
+        beaten = (t["doc_id"] > least).fillna(False).to_numpy(dtype=bool)
+        by = beaten | t["doc_id"].isna().to_numpy(dtype=bool)
+        t["mask"] = t["mask"] | np.where(beaten, SHARED, 0)
+        t["key"] = np.where(by, -1 - np.arange(len(t)) % BYPASS, t["h1"].to_numpy(dtype=np.int64) % buckets)
+        yield pa.RecordBatch.from_pandas(t[_ROUTED.names], schema=_ROUTED, preserve_index=False)
 
 
-_ROUTED = pa.schema([("text", pa.bool_()), ("h1", pa.int64()), ("h2", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("part", pa.string()), ("mask", pa.int32())])
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["doc_id", "part", "mask", "change"]).astype({"doc_id": "Int64", "mask": "int32", "change": "int64"})
+_ROUTED = pa.schema([("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("part", pa.string()), ("mask", pa.int32())])
 
 
 def _changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Buckets pass their rows on. A text's rows update its least doc_id and yield what has to change."""
-    if not key[0]:
+    """All rows of a bucket as changes; rows of the state that a smaller doc_id beats now are retracted."""
+    if key[0] < 0:
         for frame in frames:
             yield frame[["doc_id", "part", "mask"]].astype({"doc_id": "Int64"}).assign(change=np.int64(1))
         return
-    least, counts = None, {}
-    if state.exists:
-        least, parts, numbers = state.get
-        counts = dict(zip(parts, numbers))
-    out: list[tuple] = []
-
-    def beaten(doc_id: int, part: str, mask: int, n: int) -> None:
-        out.extend([(doc_id, part, mask, -n), (doc_id, part, mask | SHARED, n)])
-
-    for frame in frames:
-        for doc_id, part, mask in zip(frame["doc_id"].tolist(), frame["part"].tolist(), frame["mask"].tolist()):
-            if least is None or doc_id < least:
-                for old, n in counts.items():
-                    beaten(least, old, mask, n)
-                least, counts = doc_id, {part: 1}
-            elif doc_id == least:
-                counts[part] = counts.get(part, 0) + 1
-            else:
-                beaten(doc_id, part, mask, 1)
-    state.update((least, list(counts), list(counts.values())))
-    if out:
-        yield _frame(out)
-
-
-#: State on disk rather than in the executors' heaps; of each micro-batch only the changes are written out.
-STATE_STORE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-}
-
-
-@contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]):
-    """Session settings for one query; what the session has set itself stays as it is."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    mine = {k: v for k, v in values.items() if before[k] is None or not spark.sparkContext.getConf().contains(k)}
-    for k, v in mine.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k in mine:
-            spark.conf.unset(k) if before[k] is None else spark.conf.set(k, before[k])
-
-
-def stream_changes(spark: SparkSession, path: str, folder: str, batches: int = 3) -> DataFrame:
+    new = pd.concat(list(frames), ignore_index=True).assign(change=np.int64(1), old=False)
+    old = pd.DataFrame(dict(zip(HELD, state.get)) if state.exists else {c: [] for c in HELD}).assign(old=True)
+    kinds = {"h1": "int64", "h2": "int64", "doc_id": "int64", "mask": "int32", "change": "int64", "old": bool}
+    rows = pd.concat([old[[*HELD, "old"]].astype(kinds), new[[*HELD, "old"]].astype(kinds)], ignore_index=True)
+    beaten = rows["doc_id"] > rows.groupby(["h1", "h2"])["doc_id"].transform("min")
+    shared = rows.assign(mask=rows["mask"] | SHARED)
+    given, gone = ~rows["old"], rows["old"] & beaten
+    out = pd.concat([rows[given & ~beaten], shared[given & beaten], rows[gone].assign(change=-rows["change"][gone]), shared[gone]])
+    held = rows[~beaten].groupby(["h1", "h2", "doc_id", "part", "mask"], as_index=False)["change"].sum()
+    state.update(tuple(held[c].tolist() for c in HELD))
+    yield out[["doc_id", "part", "mask", "change"]].astype({"doc_id": "Int64"})
+
+
+def stream_changes(spark: SparkSession, path: str, folder: str, batches: int = 3, bucket_rows: int = 1024) -> DataFrame:
     """Changes (doc_id, part, mask, change) of all files at ``path``, in about ``batches`` micro-batches.
 
-    Checkpoint, state and output lie in ``folder``, which all executors share: a stopped query goes on there.
+    Texts are keyed by their hash, in buckets of about ``bucket_rows`` rows of the whole input, so that one call
+    handles many texts and none grows with the input. Checkpoint, state and output lie in ``folder``, which all
+    executors share: a stopped query goes on there. The session chooses the state store.
     """
     given = spark.read.parquet(path)
     files = given.inputFiles()
@@ -132,11 +97,11 @@ def stream_changes(spark: SparkSession, path: str, folder: str, batches: int = 3
         source = reader.parquet(path)
     text = F.coalesce("text", F.lit(""))
     masks = source.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), text_mask(text).alias("mask"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
-    routed = masks.mapInArrow(_routed, "text boolean, h1 bigint, h2 bigint, key bigint, doc_id bigint, part string, mask int")
-    changes = routed.groupBy("text", "h1", "h2", "key").applyInPandasWithState(_changes, CHANGE, STATE, "append", GroupStateTimeout.NoTimeout)
-    with _settings(spark, STATE_STORE):
-        query = changes.writeStream.format("parquet").option("path", f"{folder}/changes").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-        query.awaitTermination()
+    buckets = max(1, math.ceil(given.count() / bucket_rows))
+    routed = masks.mapInArrow(lambda b: _routed(b, buckets), "key bigint, h1 bigint, h2 bigint, doc_id bigint, part string, mask int")
+    changes = routed.groupBy("key").applyInPandasWithState(_changes, CHANGE, STATE, "append", GroupStateTimeout.NoTimeout)
+    query = changes.writeStream.format("parquet").option("path", f"{folder}/changes").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
     return spark.read.schema(CHANGE).parquet(f"{folder}/changes")
 
 
