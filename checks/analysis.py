@@ -3,25 +3,26 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
 from checks import sql as S
-from checks.fixtures import DAYS, HOURS, embedding_waves, hourly, recording_event, supplier_days
+from checks.fixtures import DAYS, HOURS, embedding_waves, hourly, recording_event, supplier_days, table
 from checks.registry import check, final, shape
 from checks.scoring import C, CORPUS, P, planted
 from wavecairn.config import DetectorConfig, EnsembleConfig, RecruitmentConfig, ReservoirConfig
 from wavecairn.functions import arrays
 from wavecairn.functions.wavelets import band_names, taps, with_dwt
 from wavecairn.operators import ensemble, events, features, graph, recruit, residual, robust, spectral
-from wavecairn.operators.framing import CHANNEL, crop
+from wavecairn.operators.framing import CHANNEL, crop, spans
 from wavecairn.plans import analyse as A
 from wavecairn.plans import ensemble as PE
 from wavecairn.plans import temporal as PT
 from wavecairn.plans.detect import detect
 from wavecairn.plans.residual import residual_detect
 from wavecairn.sources import tables
-from wavecairn.session import cut_lineage
+from wavecairn.session import cut_lineage, shared_folder
 
 K = "recording_id channel ch_index#"
 REC = ["recording_id"]
@@ -349,6 +350,43 @@ def a10(spark, sf):
     return shape(tables.read_window(stored, 18), "recording_id src dst weight:")
 
 
+_TNODE = f"{K} w# a: d1: mean: line_length: known_channel known_event"
+
+
+@check("a10_graph_nodes", S.query(*WW, """
+st AS (SELECT recording_id, channel, w, avg(v) AS mean, avg(abs(d)) AS line_length FROM (
+    SELECT *, i // 64 AS w, v - lag(v) OVER (PARTITION BY recording_id, channel, i // 64 ORDER BY i) AS d FROM s) GROUP BY ALL),
+o AS (SELECT rp.recording_id, rp.channel, ch_index, rp.w, energies[1] AS a, energies[4] AS d1, mean, line_length, rp.channel IN ('L2', 'L3') AS known_channel,
+    rp.w = 18 AS known_event FROM rp JOIN st USING (recording_id, channel, w))""", select=final(_TNODE, "o WHERE w BETWEEN 15 AND 20")))
+def a10_nodes(spark, sf):
+    """Stored nodes with their feature arrays, reloaded for a range of windows."""
+    s = supplier_days(spark, sf)
+    feats = cut_lineage(PT.window_vectors(s, 64))
+    nodes = graph.window_nodes(feats, recording_event(s, AT), 1.0, 64, F.col("channel").isin("L2", "L3"))
+    back = tables.read_windows(tables.write_nodes(nodes), 15, 20)
+    at = lambda k: F.get("features", F.lit(k))
+    return shape(back.withColumns({"a": at(0), "d1": at(3), "mean": at(4), "line_length": at(7)}), _TNODE)
+
+
+_STATUS = f"{K} time_s: baseline_windows# analysis_windows# status"
+
+
+@check("b11_event_guards", S.query(S.supplier_days(), """
+ev0 AS (SELECT CAST(c_nationkey AS VARCHAR) AS recording_id, arg_min(c_acctbal, c_custkey) / 4 AS time_s FROM customer GROUP BY ALL),
+ch AS (SELECT recording_id, channel, ch_index, min(i) AS lo, max(i) AS hi FROM s GROUP BY ALL),
+j AS (SELECT ch.*, time_s, greatest(0.0, time_s - 600) AS st, floor(greatest(0.0, time_s - 600)) AS b, ceil(time_s + 200 + 0.5) AS e FROM ch LEFT JOIN ev0 USING (recording_id)),
+win0 AS (SELECT recording_id, channel, time_s, st + (w.range * 7 + 14.0) AS t FROM j, range(400) w
+  WHERE b + w.range * 7 >= lo AND b + w.range * 7 + 28 <= least(hi + 1, e)),
+n AS (SELECT recording_id, channel, count(*) FILTER (t < time_s) AS bw, count(*) FILTER (t BETWEEN time_s AND time_s + 200) AS aw FROM win0 GROUP BY ALL),
+o AS (SELECT j.recording_id, j.channel, ch_index, time_s, coalesce(bw, 0) AS baseline_windows, coalesce(aw, 0) AS analysis_windows,
+  CASE WHEN time_s IS NULL THEN 'no event' WHEN time_s < 0 OR time_s > hi THEN 'event outside the recording' WHEN coalesce(bw, 0) < 4 THEN 'insufficient baseline'
+  WHEN coalesce(aw, 0) < 1 THEN 'no window after the event' ELSE '' END AS status FROM j LEFT JOIN n USING (recording_id, channel))""", select=final(_STATUS, "o")))
+def b11_events(spark, sf):
+    """Events outside their recording, with a short baseline or none at all have a row with the reason."""
+    given = table(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("string").alias("recording_id")).agg((F.min_by("c_acctbal", "c_custkey") / 4).alias("time_s"))
+    return shape(recruit.context_status(spans(supplier_days(spark, sf)), given, 28, 7, 1.0, BASE, AFTER), _STATUS)
+
+
 # J. Diffusion ---------------------------------------------------------------------------------------------------
 _TW = """
 both2 AS (SELECT recording_id, src, dst, abs(weight) AS m FROM ed UNION ALL SELECT recording_id, dst, src, abs(weight) FROM ed),
@@ -399,6 +437,46 @@ def j3(spark, sf):
 _SUM = "recording_id n_channels_analysed# n_detected_candidates# n_involved_channels# initiators co_activation_edges# best_correlation: mean_correlation:"
 
 
+def _both(text: str) -> str:
+    """The same SQL over both references; of a pair, either end may lie in the region."""
+    return text.replace("ch_index BETWEEN 1 AND 3", "(ch_index BETWEEN 1 AND 3 OR (ch_index = 0 AND recording_id LIKE '%bipolar'))")
+
+
+_SUMMARY_SQL = """
+a AS (SELECT recording_id, count(*) AS n_detected_candidates FROM ev GROUP BY ALL),
+b AS (SELECT recording_id, count(latency) AS n_involved_channels, coalesce(string_agg(CASE WHEN role = 'initiator' THEN channel END, ',' ORDER BY ch_index), '') AS initiators FROM roles GROUP BY ALL),
+c AS (SELECT recording_id, count(*) AS co_activation_edges FROM ed GROUP BY ALL),
+d AS (SELECT recording_id, max(correlation) AS best_correlation, avg(correlation) AS mean_correlation FROM ev6 GROUP BY ALL),
+o AS (SELECT recording_id, n_channels AS n_channels_analysed, coalesce(n_detected_candidates, 0) AS n_detected_candidates, coalesce(n_involved_channels, 0) AS n_involved_channels,
+  initiators, co_activation_edges, best_correlation, mean_correlation FROM nc LEFT JOIN a USING (recording_id) LEFT JOIN b USING (recording_id) LEFT JOIN c USING (recording_id) LEFT JOIN d USING (recording_id)),
+m AS (SELECT split_part(recording_id, '#', 1) AS recording_id, split_part(recording_id, '#', 2) AS montage, * EXCLUDE (recording_id) FROM o)"""
+_REFERENCES = """
+s0p AS (SELECT a.recording_id, a.i, a.ch_index, 'L' || (a.ch_index + 1) || '-' || (b.ch_index + 1) AS channel, a.v - b.v AS v,
+    dense_rank() OVER (PARTITION BY a.recording_id ORDER BY a.ch_index) - 1 AS pair
+  FROM s0 a JOIN (SELECT recording_id, ch_index, lead(ch_index) OVER (PARTITION BY recording_id ORDER BY ch_index) AS nx FROM (SELECT DISTINCT recording_id, ch_index FROM s0)) n
+    ON n.recording_id = a.recording_id AND n.ch_index = a.ch_index JOIN s0 b ON b.recording_id = a.recording_id AND b.i = a.i AND b.ch_index = n.nx),
+s AS (SELECT recording_id || '#none' AS recording_id, channel, ch_index, i, v FROM s0
+  UNION ALL SELECT recording_id || '#bipolar', channel, pair, i, v FROM s0p)"""
+
+
+@check("a9_comparison", S.query(S.supplier_days("s0"), _REFERENCES, *C[1:], S.verified(7, 28, 35, 2, "nc"), *[_both(x) for x in RC[2:]], _CORR, _prune(2, 0.15), _TW, _diffuse_sql(6, 0.5), _EVAL_SQL, _SUMMARY_SQL,
+    select=final("recording_id montage " + _SUM.removeprefix("recording_id "), "m")))
+def a9_comparison(spark, sf):
+    """Comparison documents of both references, written as text and read back row by row."""
+    s = cut_lineage(A.with_montage(supplier_days(spark, sf)))
+    d = detect(s, 1.0, CORPUS)
+    energy = features.band_energy(s, 28, 7, F.lit(DAYS)).withColumn("t", F.col("w") * 7 + 14.0).withColumn("time_s", F.lit(AT))
+    z = cut_lineage(recruit.standardise_energy(cut_lineage(energy), BASE, 354))
+    roles = roles_of(spark, sf, z)
+    edges = cut_lineage(edges_of(spark, sf, z, roles))
+    states = graph.diffuse(graph.graph_nodes(roles), edges)
+    rows = A.split_montage(A.summarise_runs(d.recordings, d.events, roles, edges, graph.evaluate_diffusion(states, z, 6, AFTER)))
+    path = f"{shared_folder(spark)}/comparison-{uuid.uuid4().hex}"
+    tables.write_reports(tables.comparison_json(rows), path)
+    back = tables.read_comparison(spark, path, rows)
+    return shape(back.withColumn("initiators", F.coalesce(F.array_join("likely_initiators", ","), F.lit(""))), "recording_id montage " + _SUM.removeprefix("recording_id "))
+
+
 @check("p3_montage_summary", S.query(*C, S.verified(7, 28, 35, 2, "nc"), *RC[2:], _CORR, _prune(2, 0.15), _TW, _diffuse_sql(6, 0.5), _EVAL_SQL, """
 a AS (SELECT recording_id, count(*) AS n_detected_candidates FROM ev GROUP BY ALL),
 b AS (SELECT recording_id, count(latency) AS n_involved_channels, coalesce(string_agg(CASE WHEN role = 'initiator' THEN channel END, ',' ORDER BY ch_index), '') AS initiators FROM roles GROUP BY ALL),

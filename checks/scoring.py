@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import sql as S
-from checks.fixtures import HOURS, embedding_waves, hourly, nation_contacts, recording_event, supplier_days, user_annotations
+from checks.fixtures import HOURS, embedding_waves, hourly, nation_contacts, recording_event, supplier_days, table, user_annotations
 from checks.registry import check, final, shape
 from wavecairn.config import DetectorConfig
 from wavecairn.functions.arrays import top_mean
 from wavecairn.operators import cleaning, events, features, robust
 from wavecairn.operators.framing import CHANNEL
 from wavecairn.plans.detect import detect, recordings_of, summarise
+from wavecairn.plans.tiers import resolve_lazily
 
 K = "recording_id channel ch_index#"
 REC = ["recording_id"]
@@ -262,15 +263,33 @@ def g7(spark, sf):
     return shape(events.resolve_event(*_tiers(spark, sf)), _RESOLVED)
 
 
-@check("g7_needs_blind", S.query(S.supplier_days(), S.annotations(), _CLUSTER, "expl AS (SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS recording_id FROM customer WHERE c_nationkey % 3 = 0)",
-    select="SELECT DISTINCT recording_id FROM s WHERE recording_id NOT IN (SELECT recording_id FROM expl) AND recording_id NOT IN (SELECT recording_id FROM ann)"))
+@check("g7_needs_blind", S.query(S.annotations(), _CLUSTER, "expl AS (SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS recording_id FROM customer)",
+    select="SELECT DISTINCT recording_id FROM (SELECT CAST(o_custkey AS VARCHAR) AS recording_id FROM orders) WHERE recording_id NOT IN (SELECT recording_id FROM expl) AND recording_id NOT IN (SELECT recording_id FROM ann)"))
 def g7b(spark, sf):
-    recordings = supplier_days(spark, sf).select(*REC).distinct()
-    explicit = nation_contacts(spark, sf).where(F.col("recording_id").cast("bigint") % 3 == 0).select(*REC).distinct()
+    recordings = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("recording_id")).distinct()
+    explicit = nation_contacts(spark, sf).select(*REC).distinct()
     annotated = events.cluster_annotations(user_annotations(spark, sf), ("error",), 21_600.0)
     return events.needs_blind(recordings, explicit, annotated)
 
 
+_LAZY = """
+expl AS (SELECT CAST(c_nationkey * 5 AS VARCHAR) AS recording_id, min(c_acctbal) AS time_s, 2.0 AS duration_s FROM customer GROUP BY ALL),
+an AS (SELECT CAST(user_id * 3 AS VARCHAR) AS recording_id, (epoch_us(ts) - 1704067200000000) / 1e6 AS onset, event_type AS description, event_id FROM events)"""
+
+
+@check("p2_resolved_tiers", S.query(*C, S.verified(7, 28, 35, 2, "nc"), _LAZY, _CLUSTER, _TIERS[_TIERS.index("bl AS"):], """
+o AS (SELECT * FROM res WHERE recording_id IN (SELECT recording_id FROM nc))""", select=final(_RESOLVED, "o")))
+def p2_tiers(spark, sf):
+    """The blind scan reads the recordings of suppliers that neither a nation nor a user names."""
+    s = supplier_days(spark, sf)
+    given = table(spark, sf, "customer").groupBy((F.col("c_nationkey") * 5).cast("string").alias("recording_id")).agg(F.min("c_acctbal").alias("time_s"))
+    notes = user_annotations(spark, sf).withColumn("recording_id", (F.col("recording_id").cast("bigint") * 3).cast("string"))
+    recordings = table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("recording_id")).distinct()
+    found = resolve_lazily(
+        s, 1.0, recordings, notes, given.select(*REC, "time_s", F.lit("given").alias("label"), F.lit(2.0).alias("duration_s")), CORPUS, keywords=("error",), gap=21_600.0)
+    return shape(found.context, _RESOLVED)
+
+
 _DISTANCE = "recording_id blind_time_s: blind_score: time_s: distance_s: candidates#"
 
 

@@ -181,14 +181,14 @@ def select_event(events: DataFrame) -> DataFrame:
 
 
 def resolve_event(explicit: DataFrame, annotated: DataFrame, blind: DataFrame) -> DataFrame:
-    """One event per recording: explicit before annotation before blind."""
+    """One event per recording: explicit before annotation before blind, the earliest of several of a tier."""
     columns = [*REC, "time_s", "label", "duration_s"]
     tiers = zip(TIERS.items(), (explicit, annotated, blind))
     parts = [
         t.select(*columns, F.lit(name).alias("tier"), F.lit(order).alias("_order")) for (name, order), t in tiers
     ]
     union = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    first = union.groupBy(*REC).agg(F.min_by(F.struct("tier", *columns[1:]), "_order").alias("e"))
+    first = union.groupBy(*REC).agg(F.min_by(F.struct("tier", *columns[1:]), F.struct("_order", "time_s", "label", "duration_s")).alias("e"))
     return first.select(*REC, "e.*")
 
 

@@ -137,6 +137,19 @@ def graph_nodes(roles: DataFrame) -> DataFrame:
     )
 
 
+def window_nodes(features: DataFrame, context: DataFrame, sfreq: float, window: int, known_channels: Column) -> DataFrame:
+    """A node for each channel and tumbling window: its band energies and statistics as one array, and its flags.
+
+    ``context`` has the known event of a recording; recordings without one have no known window.
+    """
+    at = context.select(*REC, F.floor(F.floor(F.col("time_s") * sfreq) / window).cast("bigint").alias("_at"))
+    joined = features.join(at, REC, "left")
+    return joined.select(
+        *REC, "w", "channel", "ch_index", F.concat("energies", "stats").alias("features"),
+        F.coalesce(known_channels, F.lit(False)).alias("known_channel"), F.coalesce(F.col("w") == F.col("_at"), F.lit(False)).alias("known_event"),
+    )
+
+
 def graph_counts(nodes: DataFrame, edges: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or REC
     n = nodes.groupBy(*by).agg(F.count("*").alias("nodes"))

@@ -37,6 +37,38 @@ def event_context(samples: DataFrame, context: DataFrame, sfreq: float, baseline
     )
 
 
+#: Why a channel has no recruitment result; "" is none.
+NO_EVENT, OUTSIDE, SHORT, NOTHING_AFTER = "no event", "event outside the recording", "insufficient baseline", "no window after the event"
+
+
+def context_status(
+    spans: DataFrame, context: DataFrame, window: int, step: int, sfreq: float, baseline: float, analysis: float, least: int = 4
+) -> DataFrame:
+    """One row for every channel of ``spans`` (lo, hi): event time, windows before and after it, and what is wrong.
+
+    Follows from lengths alone, before a sample is read: which windows of the context are complete in the
+    channel, and which of their centres lie in the baseline or in the analysis span.
+    """
+    rate = F.lit(float(sfreq))
+    start = F.greatest(F.lit(0.0), F.col("time_s") - baseline)
+    begin, end = F.floor(start * rate), F.ceil((F.col("time_s") + analysis + 0.5) * rate)
+    last_sample = F.least(F.col("hi"), end - 1)
+    first = F.greatest(F.lit(0), F.ceil((F.col("lo") - begin) / step))
+    last = F.floor((last_sample + 1 - begin - window) / step)
+    # Centres start + (w * step + window / 2) / rate: before t, and from t to t + analysis.
+    place = lambda t: ((t - start) * rate - window / 2) / step
+    below = F.ceil(place(F.col("time_s"))) - 1
+    upto = F.floor(place(F.col("time_s") + analysis))
+    count = lambda a, b: F.when(F.col("time_s").isNotNull(), F.greatest(F.lit(0), b - a + 1)).cast("bigint")
+    outside = (F.col("time_s") < 0) | (F.col("time_s") > F.col("hi") / rate)
+    joined = spans.join(context.select(*REC, "time_s"), REC, "left").withColumns({
+        "baseline_windows": F.coalesce(count(first, F.least(last, below)), F.lit(0)),
+        "analysis_windows": F.coalesce(count(F.greatest(first, below + 1), F.least(last, upto)), F.lit(0)),
+    })
+    status = F.when(F.col("time_s").isNull(), NO_EVENT).when(outside, OUTSIDE).when(F.col("baseline_windows") < least, SHORT).when(F.col("analysis_windows") < 1, NOTHING_AFTER).otherwise("")
+    return joined.select(*CHANNEL, "time_s", "baseline_windows", "analysis_windows", status.alias("status"))
+
+
 def energy_z(filtered: DataFrame, window: int, step: int, sfreq: float, baseline: float, max_rows: int | None = None) -> DataFrame:
     """Window energies of a filtered context, standardised against the pre-event windows.
 

@@ -30,6 +30,20 @@ def write_graph(edges: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_nodes(nodes: DataFrame, path: str | None = None) -> DataFrame:
+    """Store nodes with their feature arrays and flags, laid out as the edges are."""
+    spark = nodes.sparkSession
+    path = path or f"{shared_folder(spark)}/nodes-{uuid.uuid4().hex}"
+    nodes.repartitionByRange(*REC, "w").sortWithinPartitions(*REC, "w", "ch_index").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def read_windows(stored: DataFrame, first: int, last: int) -> DataFrame:
+    """Nodes or edges of the windows ``first`` to ``last``: the range reaches the file statistics. Edges come once."""
+    rows = stored.where(F.col("w").between(first, last))
+    return rows.where(F.col("src") < F.col("dst")) if "src" in stored.columns else rows
+
+
 def read_window(stored: DataFrame, w: int) -> DataFrame:
     """One window of a stored graph, each undirected edge once."""
     return stored.where((F.col("w") == w) & (F.col("src") < F.col("dst")))
@@ -58,6 +72,24 @@ def report_json(events: DataFrame, audit: DataFrame, context: DataFrame, roles:
     return out.select(*by, F.to_json(F.struct(*by, *names)).alias("report"))
 
 
+def comparison_json(summary: DataFrame) -> DataFrame:
+    """One JSON document per recording: its rows of ``montage_summary`` under ``rows``, by montage reference.
+
+    A recording that was run under one reference only has a document with one row. Missing numbers are
+    left out of a row, as a correlation without any defined step.
+    """
+    fields = [F.col("montage").alias("montage_reference"), *[c for c in summary.columns if c not in (*REC, "montage")]]
+    rows = F.sort_array(F.collect_list(F.struct(*fields)))
+    return summary.groupBy(*REC).agg(rows.alias("rows")).select(*REC, F.to_json(F.struct(*REC, "rows")).alias("report"))
+
+
+def read_comparison(spark, path: str, summary: DataFrame) -> DataFrame:
+    """The rows of stored comparison documents again, with the columns of ``summary``."""
+    fields = ", ".join(f"{'montage_reference' if n == 'montage' else n}: {t}" for n, t in summary.dtypes if n not in REC)
+    found = spark.read.text(path).select(F.from_json("value", f"recording_id string, rows array<struct<{fields}>>").alias("d"))
+    return found.select("d.recording_id", F.explode("d.rows").alias("r")).select(*REC, "r.*").withColumnRenamed("montage_reference", "montage")
+
+
 def write_reports(reports: DataFrame, path: str) -> None:
     """JSON lines; the key columns stay inside the documents, so no folder per recording is made."""
     reports.select(F.col("report").alias("value")).write.mode("overwrite").text(path)
