@@ -196,3 +196,45 @@ def test_npy_headers_are_read_by_tasks(spark, tmp_path, monkeypatch):
             runs = sorted(found[rid, c])
             assert [x[0] for x in runs][1:] == [x[1] for x in runs][:-1]
             np.testing.assert_array_equal(np.concatenate([x[2] for x in runs]), data[c])
+
+
+def test_written_files_read_back(spark, tmp_path):
+    from wavecairn.sources.edf_sink import write_edf
+
+    rng = np.random.default_rng(4)
+    values = rng.integers(-3000, 3000, (2, 130)).astype(float)
+    values[1, 40:60] = np.nan
+    rows = [("r/x", f"C{c}", c, i, float(values[c, i])) for c in range(2) for i in range(130) if not (c == 0 and i < 25)]
+    table = spark.createDataFrame(rows, "recording_id string, channel string, ch_index int, i bigint, v double")
+    notes = spark.createDataFrame([("r/x", 1.5, "начало"), ("r/x", 12.25, "конец")], "recording_id string, onset double, description string")
+    (tmp_path / "r").mkdir()
+    written = write_edf(table, str(tmp_path), 10, 1.0, dt.datetime(2026, 1, 2), notes).collect()
+    assert [r["recording_id"] for r in written] == ["r/x"] and written[0]["bytes"] == (tmp_path / "r" / "x.edf").stat().st_size
+    back = unpack_blocks(read_edf(spark, str(tmp_path))).orderBy("ch_index", "i").toPandas()
+    want = np.nan_to_num(values)
+    want[0, :25] = 0
+    np.testing.assert_array_equal(back["v"].to_numpy().reshape(2, 130), want)
+    assert [(r["onset"], r["description"]) for r in read_edf(spark, str(tmp_path), "annotations").orderBy("onset").collect()] == [(1.5, "начало"), (12.25, "конец")]
+
+
+def test_resolved_recordings_are_never_opened(spark, tmp_path):
+    """The file of a recording with a given event is no EDF file at all: only a reader that opens it would notice."""
+    from wavecairn import DetectorConfig
+    from wavecairn.plans.tiers import resolve_lazily
+
+    rng = np.random.default_rng(7)
+    data = rng.normal(0, 0.15, (8, 3000))
+    data[2:5, 1400:1800] += 7 * np.sin(2 * np.pi * 18 * np.arange(400) / 100.0)
+    write_edf(tmp_path / "blind.edf", data * 1e-6, [f"C{k}" for k in range(8)])
+    for name in ("given", "noted"):
+        (tmp_path / f"{name}.edf").write_bytes(b"not a recording")
+    ids = spark.createDataFrame([("blind",), ("given",), ("noted",)], "recording_id string")
+    given = spark.createDataFrame([("given", 3.0, "g", 2.0)], "recording_id string, time_s double, label string, duration_s double")
+    notes = spark.createDataFrame([("noted", 5.0, "error")], "recording_id string, onset double, description string")
+    config = DetectorConfig(window_seconds=1, step_seconds=0.25, threshold_mad=5, min_involved_channels=2)
+    found = resolve_lazily(read_edf(spark, str(tmp_path)), 100.0, ids, notes, given, config, keywords=("error",))
+    tiers = {r["recording_id"]: (r["tier"], r["time_s"]) for r in found.context.collect()}
+    assert tiers["given"] == ("explicit", 3.0) and tiers["noted"] == ("annotation", 5.0)
+    assert tiers["blind"][0] == "blind" and 13 <= tiers["blind"][1] <= 18
+    again = resolve_lazily(read_edf(spark, str(tmp_path)), 100.0, ids.where("recording_id <> 'blind'"), notes, given, config, keywords=("error",))
+    assert again.blind is None and again.context.count() == 2
