@@ -1,7 +1,9 @@
 """Every stage of the pipeline against a plain version on the smallest tables."""
 
 import corpus_pipeline as P
-from tests.llm.test_operators import check_packing, dedup_by_hand, fingerprint_by_hand, targets_by_hand, union
+from tests.llm.test_operators import check_packing, fingerprint_by_hand, targets_by_hand, union
+from tests.llm.test_production import dedup
+from wavecairn.llm import linededup
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,7 +24,7 @@ def test_stages(spark, tmp_path):
     (raw, known), (_, lines), (_, single), (_, mixed), (_, packed) = kept
     # A clean document stays; what goes has no letters or is in no learned language.
     assert len(known) >= 0.97 * len(raw) and {r["doc_id"] for r in known} <= {r["doc_id"] for r in raw}
-    assert {r["doc_id"]: r["text"] for r in lines} == dedup_by_hand([(r["doc_id"], r["text"]) for r in known])
+    assert {r["doc_id"]: r["text"] for r in lines} == dedup([(r["doc_id"], r["text"]) for r in known], linededup.PRODUCTION)
     prints = {r["doc_id"]: fingerprint_by_hand(r["text"]) for r in lines}
     group = union([(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4], prints)
     assert {r["doc_id"] for r in single} == set(group.values()) and len(single) == len(set(group.values()))

@@ -3,8 +3,8 @@
 Two lines within an edit distance of t share, unchanged up to a shift, at least one of t+1 segments. Lines
 are indexed by their segments and probe those of lines as long as they are or up to t shorter, at the few
 positions that a match can have. Keys are hashes; texts move only for lines that share a key with another
-line. Keys that very many lines share are refined: the shared segment is cut out and the same is done with
-the rest, within the key, until the groups are small; no pair of such a group is formed before.
+line. The lines of a key are linked with pivots first; only lines that then still lie in different components
+are compared pair by pair.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from wavecairn.llm.common import small
 from wavecairn.llm.components import connected_components
 from wavecairn.session import cut_lineage
 
-INDEX, PROBE = 0, 1
 #: (shorter line's code points from, edits): about one edit for every 50 code points, so that short lines stay apart.
 PRODUCTION = ((20, 1), (60, 2), (120, 3), (200, 4))
 
@@ -42,11 +41,16 @@ def _table(t: int) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("ndio", (n, *p))]) for n, p in enumerate(probes(t))])
 
 
-def _hash(group: Column, text: Column, size: Column, goal: Column, i: Column, shift: Column, t: int) -> Column:
-    """Hash of the segment at its shifted place; null where that place is not inside the line."""
+def _hash(group: Column, text: Column, goal: Column, i: Column, shift: Column, t: int) -> Column:
+    """Hash of the segment at its shifted place."""
     begin, length = segment(goal, i, t)
-    key = F.xxhash64(group, i, goal, F.substr(text, begin + shift + 1, length))
-    return F.when((begin + shift >= 0) & (begin + shift + length <= size), key)
+    return F.xxhash64(group, i, goal, F.substr(text, begin + shift + 1, length))
+
+
+def _inside(size: Column, goal: Column, i: Column, shift: Column, t: int) -> Column:
+    """Whether the segment at its shifted place lies inside the line; told before any text is cut or hashed."""
+    begin, length = segment(goal, i, t)
+    return (begin + shift >= 0) & (begin + shift + length <= size)
 
 
 def segment_keys(lines: DataFrame, t: int, least: int, below: int | None = None) -> DataFrame:
@@ -61,73 +65,78 @@ def segment_keys(lines: DataFrame, t: int, least: int, below: int | None = None)
     goal = F.col("size") - F.col("p.d")
     if below is not None:
         tall = tall.where(goal.between(least, below - 1))
-    key = _hash(F.lit(0), F.col("text"), F.col("size"), goal, F.col("p.i"), F.col("p.o"), t)
-    return tall.select("line", "text", "size", F.col("p.n").alias("n"), key.alias("key")).where("key IS NOT NULL")
+    tall = tall.where(_inside(F.col("size"), goal, F.col("p.i"), F.col("p.o"), t))
+    key = _hash(F.lit(0), F.col("text"), goal, F.col("p.i"), F.col("p.o"), t)
+    return tall.select("line", "text", "size", F.col("p.n").alias("n"), key.alias("key"))
 
 
-def _described(hits: DataFrame, t: int) -> DataFrame:
-    """Role, place, length and goal of the keys that were hit; own segments stand on both sides."""
-    named = hits.withColumn("p", F.element_at(_table(t), F.col("n") + 1)).withColumn("goal", F.col("size") - F.col("p.d"))
-    begin, length = segment(F.col("goal"), F.col("p.i"), t)
-    role = F.explode(F.when(F.col("n") <= t, F.array(F.lit(INDEX), F.lit(PROBE))).otherwise(F.array(F.lit(PROBE))))
-    return named.select("key", role.alias("role"), "line", "text", F.col("text").alias("rest"), (begin + F.col("p.o")).alias("at"), length.alias("length"), "goal")
+def _near(t: int) -> Column:
+    """Within ``t`` edits, with the same digits in order: what is cheap is asked first."""
+    return (F.abs(F.length("x") - F.length("y")) <= t) & (F.col("dx") == F.col("dy")) & (F.levenshtein("x", "y", t) >= 0)
 
 
-def _refined(rows: DataFrame, t: int) -> DataFrame:
-    """Keys of the next level: of the rest of each line, within its key; the index side's rest has length ``goal``."""
-    tall = rows.withColumn("p", F.explode(_table(t))).where(
-        ((F.col("role") == INDEX) & (F.col("p.n") <= t)) | ((F.col("role") == PROBE) & (F.length("rest") - F.col("goal") == F.col("p.d"))))
-    begin, length = segment(F.col("goal"), F.col("p.i"), t)
-    key = _hash(F.col("key"), F.col("rest"), F.length("rest"), F.col("goal"), F.col("p.i"), F.col("p.o"), t)
-    return tall.select(key.alias("key"), "role", "line", "text", "rest", (begin + F.col("p.o")).alias("at"), length.alias("length"), "goal").where("key IS NOT NULL")
+def _side(texts: DataFrame, line: str, text: str, digits: str) -> DataFrame:
+    return texts.select(F.col("line").alias(line), F.col("text").alias(text), F.col("digits").alias(digits))
 
 
-def _cut_out(rows: DataFrame) -> DataFrame:
-    rest = F.concat(F.substr("rest", F.lit(1), F.col("at")), F.substr("rest", F.col("at") + F.col("length") + 1))
-    return rows.select("key", "role", "line", "text", rest.alias("rest"), (F.col("goal") - F.col("length")).alias("goal"))
+def _labels(texts: DataFrame, links: DataFrame) -> DataFrame:
+    """(line, comp) of every line of ``texts``."""
+    found = connected_components(links).select(F.col("node").alias("line"), F.col("component").alias("c"))
+    return cut_lineage(texts.select("line").join(found, "line", "left").select("line", F.coalesce("c", "line").alias("comp")))
 
 
-def _pairs(rows: DataFrame, t: int) -> DataFrame:
-    """Links (a, b) among the rows of each key: the banded edit distance is part of the join condition."""
-    digits = lambda c: F.regexp_replace(c, r"[^0-9]+", "")
-    a = rows.where(F.col("role") == INDEX).select("key", F.col("line").alias("a"), F.col("text").alias("x"))
-    b = rows.where(F.col("role") == PROBE).select("key", F.col("line").alias("b"), F.col("text").alias("y"))
-    near = (F.col("a") != F.col("b")) & (F.abs(F.length("x") - F.length("y")) <= t) & (F.levenshtein("x", "y", t) >= 0) & (digits(F.col("x")) == digits(F.col("y")))
-    return a.withColumnRenamed("key", "k").join(b, (F.col("k") == F.col("key")) & near).select("a", "b")
-
-
-def edit_links(lines: DataFrame, t: int = 1, least: int = 20, pairs_per_key: int = 4096, depth: int = 8, below: int | None = None) -> DataFrame:
-    """Links (a, b) between different lines within ``t`` edits and with the same digits in order.
+def edit_links(lines: DataFrame, t: int = 1, least: int = 20, below: int | None = None, rounds: int = 2, pair_rows: int = 256) -> DataFrame:
+    """Links (a, b) of lines within ``t`` edits and with the same digits in order; their components are those of all such links.
 
     ``lines`` has line (a hash of the text) and text, occurrences included. Only lines of ``least`` code
-    points or more take part; with ``below``, only pairs whose shorter line has fewer than that. A key whose index and probe rows would form more than ``pairs_per_key`` pairs
-    is refined up to ``depth`` times; what is left then is compared as it is, so no link is lost.
+    points or more take part; with ``below``, only pairs whose shorter line has fewer than that. In ``rounds``
+    rounds the lines of each key are compared with one of them, a pivot that changes from round to round. So a
+    ball of near lines gives a link for each line, and no pair of it is formed. Lines that lie in different
+    components after that meet once for each pair of lines, however many keys they share.
     """
     keyed = segment_keys(lines, t, least, below)
     shared = cut_lineage(
         keyed.groupBy("key").agg(F.min("line").alias("lo"), F.max("line").alias("hi"), F.min("n").alias("n"))
         .where(f"lo <> hi AND n <= {t}").select("key")
     )
-    few = small(shared, 1_000_000)
-    if few is not shared:
-        hits = keyed.join(few, "key", "left_semi").distinct()
-    else:  # too many keys to broadcast: ids first, and each text once, not once per key
-        slim = cut_lineage(keyed.drop("text").join(shared, "key", "left_semi").distinct())
-        texts = lines.join(slim.select("line").distinct(), "line", "left_semi").distinct()
-        hits = slim.join(texts.select("line", "text"), "line")
-    rows = cut_lineage(_cut_out(_described(hits, t)))
+    hits = cut_lineage(keyed.select("key", "line", (F.col("n") <= t).alias("own")).join(small(shared, 1_000_000), "key").groupBy("key", "line").agg(F.max("own").alias("own")))
+    wanted = hits.select("line").distinct()
+    digits = F.regexp_replace("text", r"[^0-9]+", "")
+    texts = cut_lineage(lines.join(small(wanted, 1_000_000), "line", "left_semi").groupBy("line").agg(F.first("text").alias("text")).withColumn("digits", digits))
+    comp = texts.select("line", F.col("line").alias("comp"))
     found = None
-    for level in range(depth + 1):
-        side = lambda r: F.sum((F.col("role") == r).cast("bigint"))  # noqa: E731, B023
-        counts = rows.groupBy("key").agg(side(INDEX).alias("i"), side(PROBE).alias("p"))
-        hot = cut_lineage(counts.where(F.col("i") * F.col("p") > pairs_per_key).select("key"))
-        last = level == depth or not hot.limit(1).count()
-        now = _pairs(rows if last else rows.join(hot, "key", "left_anti"), t)
-        found = now if found is None else found.unionByName(now)
-        if last:
-            return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        rows = cut_lineage(_cut_out(_refined(rows.join(hot, "key", "left_semi"), t).distinct()))
-    raise AssertionError("not reached")
+    for number in range(rounds):
+        placed = hits.join(comp, "line")
+        order = F.struct(F.xxhash64(F.lit(number), "line").alias("o"), F.col("line").alias("a"), F.col("comp").alias("ca"))
+        pivots = placed.groupBy("key").agg(F.min(order).alias("p"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key", "p.a", "p.ca")
+        pairs = placed.join(pivots, "key").where("comp <> ca").select("a", F.col("line").alias("b")).distinct()
+        true = pairs.join(_side(texts, "b", "y", "dy"), "b").join(_side(texts, "a", "x", "dx"), "a").where(_near(t)).select("a", "b")
+        true = cut_lineage(true)
+        found = true if found is None else found.unionByName(true)
+        comp = _labels(texts, found)
+    rest = _rest_links(hits, texts, comp, t, pair_rows, 2 if rounds else 1)
+    return (rest if found is None else found.unionByName(rest)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _rest_links(hits: DataFrame, texts: DataFrame, comp: DataFrame, t: int, pair_rows: int, met: int) -> DataFrame:
+    """Links between lines of different components that share a key, index side against probe side.
+
+    Of keys with the same lines only one is kept. Keys of at most ``met`` lines
+    have been compared. A key's lines are cut into chunks of about ``pair_rows`` by a
+    hash, and chunks meet by their numbers; the edit distance is part of that join, which leaves near pairs only.
+    """
+    placed = hits.join(comp, "line")
+    mixed = placed.groupBy("key").agg(
+        F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("line", "own").cast("decimal(38,0)")).alias("set"), F.bit_xor(F.xxhash64(F.lit(1), "line", "own")).alias("set2"),
+    ).where(f"c0 <> c1 AND m > {met}")
+    single = cut_lineage(mixed.groupBy("set", "set2", "m").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / F.lit(pair_rows)).cast("bigint").alias("chunks")))
+    rows = cut_lineage(placed.join(small(single, 1_000_000), "key").withColumn("chunk", F.pmod(F.xxhash64("line"), F.col("chunks"))))
+    full = rows.join(texts, "line")
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))
+    a = full.where("own").withColumn("other", every).select("key", F.col("chunk").alias("ka"), F.col("other").alias("kb"), F.col("line").alias("a"), F.col("comp").alias("ca"), F.col("text").alias("x"), F.col("digits").alias("dx"))
+    b = full.withColumn("other", every).select(F.col("key").alias("k"), F.col("other").alias("la"), F.col("chunk").alias("lb"), F.col("line").alias("b"), F.col("comp").alias("cb"), F.col("text").alias("y"), F.col("digits").alias("dy"))
+    together = (F.col("key") == F.col("k")) & (F.col("ka") == F.col("la")) & (F.col("kb") == F.col("lb")) & (F.col("ca") != F.col("cb"))
+    return cut_lineage(a.join(b, together & _near(t)).select("a", "b"))
 
 
 def class_links(lines: DataFrame, classes: tuple[tuple[int, int], ...]) -> DataFrame:
