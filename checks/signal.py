@@ -48,6 +48,22 @@ def l4(spark, sf):
     return shape(p, f"{K} frequency: i# power:")
 
 
+_LOGP = f"{K} k# i# level:"
+
+
+@check("l4_cwt_log_power", S.query(S.hourly(), f"""
+f AS (SELECT k, 80.0::DOUBLE * pow(0.25::DOUBLE, k / 24.0::DOUBLE) AS frequency FROM range(25) t(k)),
+g AS (SELECT k, 0.5::DOUBLE * {RATE} / frequency AS scale FROM f),
+o AS (SELECT a.recording_id, a.channel, a.ch_index, k, a.i, ln(1 + (pow(sum(b.v * cos(pi() * (a.i - b.i) / scale) * exp(-pow((a.i - b.i) / scale, 2))), 2)
+      + pow(sum(b.v * sin(pi() * (a.i - b.i) / scale) * exp(-pow((a.i - b.i) / scale, 2))), 2)) / pi() / any_value(scale)) AS level
+  FROM g JOIN s a ON true JOIN s b ON a.channel = b.channel AND b.i BETWEEN a.i - 40 AND a.i + 40 AND abs(a.i - b.i) <= 8 * scale GROUP BY ALL)""", select=final(_LOGP, "o")))
+def l4_log(spark, sf):
+    """Wavelet power in blocks of 128 samples against the convolution written out."""
+    p = spectral.cwt_power(hourly(spark, sf), 20.0, 80.0, RATE, 128)
+    k = F.round(F.log(F.col("frequency") / 80.0) / math.log(0.25) * 24)
+    return shape(p.withColumns({"k": k, "level": F.log1p("power")}), _LOGP)
+
+
 _PSD = f"{K} frequency: psd:"
 _TAPER = f"(0.54 - 0.46 * cos(2 * pi() * p / 48))"
 

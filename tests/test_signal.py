@@ -160,9 +160,17 @@ def test_residual_flags_the_burst(spark):
     assert row["detected"] and -0.1 <= row["onset_t"] <= 3.5 and row["peak_score"] >= 6 and "DETECTED" in row["verdict"]
 
 
-def test_longer_segments_are_an_error(spark):
-    x = np.random.default_rng(2).standard_normal((1, 300))
-    with pytest.raises(Exception, match="more than 256 samples"):
-        spectral.dwt_components(samples(spark, x, ["a"]), "db4", 3, 256).count()
-    with pytest.raises(Exception, match="more than 256 samples"):
-        spectral.cwt_power(samples(spark, x, ["a"]), 5.0, 80.0, 256.0, 256).count()
+@pytest.mark.parametrize("n", [300, 1001, 1536])
+def test_long_segments_in_blocks_equal_whole_ones(spark, n):
+    """Overlap-save: blocks of 256 samples against one block that holds the whole segment."""
+    x = np.random.default_rng(2).standard_normal((2, n)).cumsum(axis=1)
+    rows = samples(spark, x, ["a", "b"])
+    for wavelet, level in (("db4", 3), ("db2", 4)):
+        cut, whole = (spectral.dwt_components(rows, wavelet, level, block).toPandas().sort_values(["channel", "band", "i"]) for block in (256, 4096))
+        assert len(cut) == len(whole) == 2 * n * (level + 1)
+        np.testing.assert_allclose(cut["v"].to_numpy(), whole["v"].to_numpy(), atol=1e-9)
+        total = cut.groupby(["channel", "i"])["v"].sum().to_numpy().reshape(2, n)
+        np.testing.assert_allclose(total, x, atol=1e-9)
+    cut, whole = (spectral.cwt_power(rows, 20.0, 80.0, 256.0, block).toPandas().sort_values(["channel", "frequency", "i"]) for block in (256, 4096))
+    assert len(cut) == len(whole)
+    np.testing.assert_allclose(cut["power"].to_numpy(), whole["power"].to_numpy(), rtol=1e-9, atol=1e-9)

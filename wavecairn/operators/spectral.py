@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavecairn.functions.wavelets import decompose_rows, rebuild_rows, usable_level
+from wavecairn.functions.wavelets import LOW_TAPS, decompose_rows, rebuild_rows, usable_level
 from wavecairn.operators import panes
 from wavecairn.operators.framing import CHANNEL, pack_blocks, per_block
 
@@ -212,13 +214,19 @@ def cwt_power(
     segments: DataFrame, low: float, high: float, sfreq: float, block: int,
     bandwidth: float = 1.0, centre: float = 0.5, voices: int = 12,
 ) -> DataFrame:
-    """Complex Morlet power of segments (samples re-numbered from 0, at most ``block`` long, else an error)."""
+    """Complex Morlet power of segments of any length, block by block with a margin of the longest wavelet's support.
+
+    The sampled wavelet ends at 8 scales, so a sample's power depends on the samples within that margin only:
+    the blocks give what the whole segment would. ``block`` grows to the margin where it is shorter.
+    """
     frequencies = cwt_frequencies(low, high, sfreq, voices)
+    scales = centre * sfreq / frequencies
+    margin = math.ceil(8 * scales.max())
+    block = max(block, margin)
 
     def kernel(values: np.ndarray, row: dict) -> dict[str, np.ndarray]:
-        _one_block(row, block)
+        own, first = _own(row, block)
         values, n = _known(values), len(values)
-        scales = centre * sfreq / frequencies
         size = 1 << int(np.ceil(np.log2(2 * n)))
         spectrum = np.fft.fft(values, size)
         lag = np.fft.fftfreq(size, 1.0 / size)
@@ -227,34 +235,44 @@ def cwt_power(
             u = lag / scale
             wave = np.exp(2j * np.pi * centre * u - u * u / bandwidth) / np.sqrt(np.pi * bandwidth)
             power[k] = np.abs(np.fft.ifft(spectrum * np.fft.fft(np.where(np.abs(u) <= 8, wave, 0)))[:n]) ** 2 / scale
-        index = row["i0"] + np.arange(n)
-        return {"frequency": np.repeat(frequencies, n), "i": np.tile(index, len(scales)), "power": power.ravel()}
+        power = power[:, own]
+        index = first + np.arange(power.shape[1])
+        return {"frequency": np.repeat(frequencies, len(index)), "i": np.tile(index, len(scales)), "power": power.ravel()}
 
     fields = [("frequency", T.DoubleType()), ("i", T.LongType()), ("power", T.DoubleType())]
-    return per_block(pack_blocks(segments, block), kernel, fields)
+    return per_block(pack_blocks(segments, block, before=margin, after=margin), kernel, fields)
 
 
 def dwt_components(segments: DataFrame, wavelet: str, level: int, block: int) -> DataFrame:
     """Full-length reconstruction of every band alone; the components add up to the segment.
 
-    Samples are numbered from 0; a segment of more than ``block`` samples is an error.
+    Segments of any length, with samples numbered from 0: blocks of whole 2^level samples have a margin of the
+    support of decomposition and reconstruction, so their own samples come out as in the whole segment, whose
+    ends alone are extended. ``block`` grows to such a margin where it is shorter.
     """
+    grain = 1 << level
+    margin = grain * math.ceil(2 * (len(LOW_TAPS[wavelet]) - 1) * (grain - 1) / grain)
+    # A longer segment has the full level: a shorter one is a single block.
+    block = grain * math.ceil(max(block, margin, (len(LOW_TAPS[wavelet]) - 1) * grain) / grain)
 
     def kernel(values: np.ndarray, row: dict) -> dict[str, np.ndarray]:
-        _one_block(row, block)
+        if row["i0"] % grain:
+            raise ValueError("samples of a segment must be numbered from 0")
+        own, first = _own(row, block)
         n = len(values)
-        used = usable_level(n, wavelet, level)
+        alone = row["own0"] == 0 and n <= block
+        used = usable_level(n, wavelet, level) if alone else level
         bands = decompose_rows(_known(values)[None, :], wavelet, used)
         labels = [f"A{used}"] + [f"D{k}" for k in range(used, 0, -1)]
         parts = [
-            rebuild_rows([b if j == k else np.zeros_like(b) for j, b in enumerate(bands)], wavelet, n)[0]
+            rebuild_rows([b if j == k else np.zeros_like(b) for j, b in enumerate(bands)], wavelet, n)[0][own]
             for k in range(len(bands))
         ]
-        index = row["i0"] + np.arange(n)
-        return {"band": np.repeat(labels, n), "i": np.tile(index, len(parts)), "v": np.concatenate(parts)}
+        index = first + np.arange(len(parts[0]))
+        return {"band": np.repeat(labels, len(index)), "i": np.tile(index, len(parts)), "v": np.concatenate(parts)}
 
     fields = [("band", T.StringType()), ("i", T.LongType()), ("v", T.DoubleType())]
-    return per_block(pack_blocks(segments, block), kernel, fields)
+    return per_block(pack_blocks(segments, block, before=margin, after=margin), kernel, fields)
 
 
 def welch_psd(
