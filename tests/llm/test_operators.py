@@ -470,3 +470,23 @@ def test_licenses_and_inheritance(spark):
 def test_schemas_have_no_void(spark):
     for name, query in queries.QUERIES.items():
         assert not any(isinstance(f.dataType, T.NullType) for f in query(spark, SF).schema), name
+
+
+def test_top_k_of_huge_components_and_sql(spark):
+    """Nothing is left out for its size: sums beyond a machine word's half are exact, too."""
+    import duckdb
+
+    rng = np.random.default_rng(9)
+    values = {i: rng.standard_normal(4) * 10.0 ** (i % 7) for i in range(60)}
+    values[50] = np.array([3e5, -3e5, 1.0, 2.0])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in values.items()], "vec_id bigint, embedding array<double>")
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in values.items()}
+    want = []
+    for q in (0, 50):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+    assert sorted(tuple(r) for r in topk.exact_top_k(df, F.col("vec_id") % 50 == 0).collect()) == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    rows = con.execute(f"SELECT query_id, rank, vec_id, score FROM ({topk.ORACLE_SQL})").fetchall()
+    assert sorted(rows) == sorted(tuple(r) for r in queries.op7_top_k(spark, SF).collect())
