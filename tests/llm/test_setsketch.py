@@ -66,7 +66,7 @@ def near_copies(n, seed=3):
 @pytest.mark.parametrize("tile_rows", [1024, 16])
 def test_large_group_of_near_copies(spark, tile_rows, monkeypatch):
     rows = near_copies(240)
-    monkeypatch.setattr(setsketch.set_links, "__defaults__", (2, tile_rows))
+    monkeypatch.setattr(setsketch.set_links, "__defaults__", (2, tile_rows, None))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert found(setsketch.near_duplicates(docs)) == expected(rows)
 

@@ -278,17 +278,23 @@ def _with_texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFram
     return cut_lineage(texts.join(small(named), ["t1", "t2"]).groupBy("id").agg(F.first("text").alias("text")))
 
 
-def set_links(docs: DataFrame, sets: DataFrame, percent: int, words: int, config: SketchConfig, rounds: int = 2, tile_rows: int = 1024) -> DataFrame:
+def _band_buckets(sets: DataFrame, config: SketchConfig) -> DataFrame:
+    """id, key, m of every row that shares the registers of a band with another one."""
+    band = lambda k: F.xxhash64(F.lit(k), F.substring("regs", 1 + 2 * config.rows * k, 2 * config.rows))
+    keyed = sets.select("id", F.explode(F.array(*[band(k) for k in range(config.bands)])).alias("key"))
+    common = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("key", "m")
+    return cut_lineage(keyed.join(small(common, 1_000_000), "key"))
+
+
+def set_links(docs: DataFrame, sets: DataFrame, percent: int, words: int, config: SketchConfig, rounds: int = 2, tile_rows: int = 1024, bucket: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) whose components are those of all links between different sets.
 
     ``sets`` has id, n, regs and the hashes t1, t2 of one text each. In ``rounds`` rounds each bucket that still
     has several components compares its members with a pivot, which differs between rounds. What is still in
-    several components after that meets in tiles.
+    several components after that meets in tiles. Buckets are those of the bands, or given: id, key and the
+    number m of ids that have the key.
     """
-    band = lambda k: F.xxhash64(F.lit(k), F.substring("regs", 1 + 2 * config.rows * k, 2 * config.rows))
-    keyed = sets.select("id", F.explode(F.array(*[band(k) for k in range(config.bands)])).alias("key"))
-    common = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("key", "m")
-    bucket = cut_lineage(keyed.join(small(common, 1_000_000), "key"))  # of every row that shares a bucket
+    bucket = _band_buckets(sets, config) if bucket is None else bucket
     comp = sets.select("id", F.col("id").alias("comp"))
     edges = None
     for number in range(rounds):
@@ -321,6 +327,13 @@ def set_links(docs: DataFrame, sets: DataFrame, percent: int, words: int, config
     return edges.unionByName(last)
 
 
+def distinct_sets(rows: DataFrame) -> DataFrame:
+    """id (64 bits of the digest), s1, s2, first (least doc_id), t1, t2 (of one text), n, regs of every non-empty set of ``sketch_rows``."""
+    whole = rows.where("s1 IS NOT NULL").groupBy("s1", "s2").agg(
+        F.min("doc_id").alias("first"), F.min(F.struct("t1", "t2")).alias("t"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
+    return cut_lineage(whole.select(F.xxhash64("s1", "s2").alias("id"), "s1", "s2", "first", F.col("t.t1").alias("t1"), F.col("t.t2").alias("t2"), "n", "regs"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, config: SketchConfig = SketchConfig()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; links have 100 * intersection >= percent * union.
 
@@ -333,10 +346,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, config:
     no rows.
     """
     rows = cut_lineage(sketch_rows(docs, config, words))
-    # The id of a set is 64 bits of its digest.
-    whole = rows.where("s1 IS NOT NULL").groupBy("s1", "s2").agg(
-        F.min("doc_id").alias("first"), F.min(F.struct("t1", "t2")).alias("t"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
-    sets = cut_lineage(whole.select(F.xxhash64("s1", "s2").alias("id"), "s1", "s2", "first", F.col("t.t1").alias("t1"), F.col("t.t2").alias("t2"), "n", "regs"))
+    sets = distinct_sets(rows)
     found = connected_components(set_links(docs, sets.select("id", "n", "regs", "t1", "t2"), percent, words, config))
     named = cut_lineage(sets.join(found.withColumnRenamed("node", "id"), "id", "left").select("s1", "s2", "first", F.coalesce("component", "id").alias("c")))
     least = named.groupBy("c").agg(F.min("first").alias("component_id"))

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavecairn.llm import setsketch
 from wavecairn.llm.common import column, inputs, map_rows, raw_texts
 from wavecairn.llm.components import connected_components
 from wavecairn.session import cut_lineage
@@ -151,3 +152,47 @@ def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, radius: int
     linked = member.join(groups, "component").select(F.col("node").alias("fp"), "smallest")
     labels = single.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id"))
     return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
+
+
+def verified_duplicates(docs: DataFrame, words: int = 5, radius: int = 12, percent: int = 80, seed: int = 42) -> DataFrame:
+    """doc_id, t1, t2 (hashes of the text), group of every row: near copies by fingerprint, confirmed on full sets.
+
+    Texts whose fingerprints are joined by steps of at most ``radius`` bits are candidates; those with a
+    Jaccard similarity of ``percent`` / 100 or more over their sets of ``words`` words are linked, and a group is
+    what links join. Texts without words are one group. Rows are told apart by doc_id and text, so unlike
+    texts under one doc_id stay apart. An empty table gives no rows.
+    """
+    config = setsketch.SketchConfig()
+    rows = cut_lineage(setsketch.sketch_rows(docs, config, words))
+    sets = setsketch.distinct_sets(rows)
+    slim = docs.select("text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+
+    def run(batch) -> dict:
+        values = np.array([fingerprint(x, words, seed) for x in raw_texts(batch)], dtype=np.uint64)
+        return {"t1": column(batch, "t1"), "t2": column(batch, "t2"), "fp": values.view(np.int64)}
+
+    prints = map_rows(slim, run, "t1 bigint, t2 bigint, fp bigint").distinct()
+    marked = cut_lineage(sets.select("id", "t1", "t2").join(prints, ["t1", "t2"]).select("id", "fp"))
+    near = connected_components(links(marked.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
+    placed = marked.join(near, "fp", "left").select("id", F.coalesce("component", "fp").alias("key"))
+    several = placed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    bucket = cut_lineage(placed.join(several, "key"))
+    found = connected_components(setsketch.set_links(docs, sets.select("id", "n", "regs", "t1", "t2"), percent, words, config, bucket=bucket))
+    named = sets.join(found.withColumnRenamed("node", "id"), "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("group"))
+    full = rows.where("s1 IS NOT NULL").join(named, ["s1", "s2"]).select("doc_id", "t1", "t2", "group")
+    return full.unionByName(rows.where("s1 IS NULL").select("doc_id", "t1", "t2", F.lit(None).cast("bigint").alias("group")))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each group of ``verified_duplicates``: the smallest doc_id (null last), then text hash."""
+    found = cut_lineage(verified_duplicates(docs, **options))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")
+    head = cut_lineage(found.groupBy("group").agg(F.min(order).alias("h")).select("h.doc_id", "h.t1", "h.t2"))
+    counted = found.groupBy("doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("_copies"))
+    kept = cut_lineage(head.join(counted.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "t1", "t2")], "_copies"), F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2"))).select("_doc_id", "_t1", "_t2", "_copies"))
+    names = docs.columns
+    named = docs.withColumns({"_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), "text")})
+    joined = named.join(kept, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_h1") == F.col("_t1")) & (F.col("_h2") == F.col("_t2")))
+    # Equal rows are told apart by nothing: one of them is taken. They are rare, so only they are grouped.
+    repeated = joined.where("_copies > 1").dropDuplicates(["_doc_id", "_t1", "_t2"])
+    return joined.where("_copies = 1").unionByName(repeated).select(*[F.col(f"`{c}`") for c in names])
