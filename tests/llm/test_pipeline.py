@@ -1,9 +1,10 @@
 """Every stage of the pipeline against a plain version on the smallest tables."""
 
 import corpus_pipeline as P
-from tests.llm.test_operators import check_packing, fingerprint_by_hand, targets_by_hand, union
+from tests.llm.test_operators import check_packing, targets_by_hand, union
 from tests.llm.test_production import dedup
-from wavecairn.llm import linededup
+from tests.llm.test_setsketch import set_by_hand
+from wavecairn.llm import linededup, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,8 +26,11 @@ def test_stages(spark, tmp_path):
     # A clean document stays; what goes has no letters or is in no learned language.
     assert len(known) >= 0.97 * len(raw) and {r["doc_id"] for r in known} <= {r["doc_id"] for r in raw}
     assert {r["doc_id"]: r["text"] for r in lines} == dedup([(r["doc_id"], r["text"]) for r in known], linededup.PRODUCTION)
-    prints = {r["doc_id"]: fingerprint_by_hand(r["text"]) for r in lines}
-    group = union([(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4], prints)
+    prints = {r["doc_id"]: simhash.fingerprint((r["text"] or "").encode(), 5) for r in lines}
+    sets = {r["doc_id"]: set_by_hand(r["text"]) for r in lines}
+    cell = union([(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 12], prints)
+    near = lambda a, b: not sets[a] | sets[b] or 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    group = union([(a, b) for a in sets for b in sets if a < b and cell[a] == cell[b] and near(a, b)], sets)
     assert {r["doc_id"] for r in single} == set(group.values()) and len(single) == len(set(group.values()))
     size = lambda r: len((r["text"] or "").split())
     sizes, taken = {}, {}
