@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavecairn.llm import langid, linededup, mixing, packing, simhash
-from wavecairn.llm.common import small
-from wavecairn.session import cut_lineage, shared_folder
+from wavecairn.session import shared_folder
 
 #: A text without a learned label goes if fewer of its n-grams are known to the landmarks. On sf0.01, prefixes of 8 code
 #: points have 0.82 or more, sentences in eight other languages 0.78 or less; the regression value follows length.
@@ -17,7 +16,11 @@ LEAST_KNOWN = 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a letter whose lang is a learned one, or whose n-grams are; a null lang becomes the predicted one."""
+    """Keeps documents with a letter whose lang is a learned one, or whose n-grams are; a null lang becomes the predicted one.
+
+    Null, empty and letterless texts go; long ones are read whole; repeated rows are judged alike. Without
+    any labelled document nothing is learned, and nothing stays. An empty table stays empty.
+    """
     model = langid.train(docs, F.lit(True))
     found = langid.identify(docs.withColumnsRenamed({"lang": "_lang"}).withColumn("_text", F.col("text")), model, ["doc_id", "_text", "_lang", "source", "n_chars"])
     labelled = F.coalesce(F.col("_lang").isin(model.languages if model else []), F.lit(False))
@@ -26,25 +29,38 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated lines out of the texts; n_chars follows."""
+    """Takes repeated lines out of the texts; n_chars follows.
+
+    Null texts stay null, a text may become empty, repeated rows keep the same lines; no row goes.
+    """
     out = linededup.dedup_lines(docs, classes=linededup.PRODUCTION)
     return out.select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the smallest doc_id. Rows without doc_id stay."""
-    found = simhash.near_duplicates(docs)
-    away = cut_lineage(found.where("doc_id <> component_id").select("doc_id"))
-    return docs.join(small(away, 1_000_000), "doc_id", "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
+    """One row of each group of near copies stays: five words, 12 bits, then a similarity of 0.8 on full sets.
+
+    The smallest doc_id stays (null last). Texts without words are one group. Unlike texts under one doc_id
+    stay apart, of equal rows one stays. An empty table stays empty.
+    """
+    return simhash.one_of_each(docs, words=5, radius=12, percent=80).select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it, none more than twice.
+
+    A null source is a source like any other; null and empty texts have no words, and the mix may leave them out.
+    Repeated rows are documents of their own. An empty table stays empty.
+    """
     return mixing.mixed_documents(docs).select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents and their places in sequences."""
+    """Pieces of all documents and their places in sequences.
+
+    A null or empty text is its end id alone, a text longer than a sequence is cut into pieces, repeated rows are
+    packed each. An empty table gives no pieces.
+    """
     return packing.pack_documents(docs)
 
 
