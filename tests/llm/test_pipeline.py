@@ -46,3 +46,25 @@ def test_stages(spark, tmp_path):
 
 def test_run_returns_the_last_stage(spark):
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(P.run(spark, SF).columns)
+
+
+def test_stages_at_the_edges(spark):
+    """Nulls in any column, empty, blank and very long texts, repeated rows and an empty table, stage by stage."""
+    rows = [
+        (1, None, None, None, None), (2, "", "en", "a", 0), (None, "a b c d e f", "fr", "b", 11), (4, " \n\t", None, "a", 3), (5, "one two\nthree", "en", None, 13),
+        (5, "one two\nthree", "en", None, 13), (5, "another text of this id", "en", "a", 23), (6, "word " * 20_000, "en", "a", 100_000), (7, "日本 é", "de", "ñ", 4),
+    ]
+    kind = spark.read.parquet(f"{SF}/documents.parquet").schema
+    docs = spark.createDataFrame(rows, kind)
+    for k, (_, stage) in enumerate(P.STAGES):
+        out = stage(spark, docs, SF)
+        assert k == 4 or out.columns == docs.columns
+        found = table(out)
+        if k == 1:
+            assert len(found) == len(rows) and sum(r["text"] is None for r in found) == 1
+        if k == 2:
+            assert sorted(str(r["doc_id"]) for r in found) == ["1", "5", "5", "6", "7", "None"]
+        if k == 4:
+            assert len([r for r in found if r["piece"] == 0]) == len(rows)
+            check_packing(found)
+        assert table(stage(spark, docs.limit(0), SF)) == []
