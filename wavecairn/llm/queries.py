@@ -88,4 +88,4 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_ann, op3_line_dedup, op4_secrets, op5_language, op6_token_stream, op7_top_k, op8_packing, op9_mixing, op10_licenses, op11_minhash, op12_turns, op13_filter_audit)}
-ORACLES: dict[str, str] = {"op7_top_k": topk.ORACLE_SQL, "op13_filter_audit": filter_audit.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op7_top_k": topk.ORACLE_SQL, "op10_licenses": licenses.oracle_sql("SELECT doc_id AS id, concat_ws('/', source, lang, doc_id) AS path, text FROM documents"), "op13_filter_audit": filter_audit.ORACLE_SQL}
