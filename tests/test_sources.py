@@ -238,3 +238,21 @@ def test_resolved_recordings_are_never_opened(spark, tmp_path):
     assert tiers["blind"][0] == "blind" and 13 <= tiers["blind"][1] <= 18
     again = resolve_lazily(read_edf(spark, str(tmp_path)), 100.0, ids.where("recording_id <> 'blind'"), notes, given, config, keywords=("error",))
     assert again.blind is None and again.context.count() == 2
+
+
+def test_sources_without_pushdown(spark, corpus, tmp_path):
+    """Spark's default: the session pushes nothing, and the same predicates give the same rows."""
+    root, ramp = corpus
+    np.save(tmp_path / "c.npy", ramp)
+    wanted = "recording_id = 'one' AND i0 < 500 AND i1 > 300 AND channel = 'EEG A1'"
+    read = lambda: (
+        unpack_blocks(read_edf(spark, str(root), read_bytes=1000).where(wanted)).orderBy("i").collect(),
+        {m: read_edf(spark, str(root), m).where("recording_id = 'one'").count() for m in ("header", "channels", "annotations")},
+        unpack_blocks(read_npy(spark, str(tmp_path)).where("channel = 'channel_1'")).orderBy("i").collect(),
+    )
+    pushed = read()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    try:
+        assert read() == pushed and len(pushed[0]) == 200 and pushed[1] == {"header": 1, "channels": 3, "annotations": 2} and len(pushed[2]) == 1000
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

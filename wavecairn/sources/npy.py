@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from wavecairn.sources.edf import _open, list_files
-from wavecairn.sources.pushdown import Pushed
+from wavecairn.sources.pushdown import Pushed, pushdown, takes_filters
 
 PART_BYTES = 32 << 20
 BLOCK = 65_536
@@ -75,6 +75,12 @@ class NpyReader(DataSourceReader):
                         yield _rows(slab.recording_id, [c], first, np.frombuffer(stream.read((last - first) * dtype.itemsize), dtype)[None, :])
 
 
+class PlainNpyReader(NpyReader):
+    """For sessions without pushdown."""
+
+    pushFilters = DataSourceReader.pushFilters
+
+
 def _rows(recording_id: str, channels: list[int], first: int, rows: np.ndarray) -> pa.RecordBatch:
     sizes = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
     number = lambda x: pa.array([x] * len(rows), pa.int64())
@@ -96,13 +102,14 @@ class NpyDataSource(DataSource):
         return "recording_id string, channel string, ch_index int, i0 bigint, i1 bigint, v array<double>"
 
     def reader(self, schema) -> NpyReader:
-        return NpyReader(dict(self.options))
+        options = dict(self.options)
+        return (NpyReader if takes_filters(options) else PlainNpyReader)(options)
 
 
 def read_npy(spark: SparkSession, path: str, names: DataFrame | None = None) -> DataFrame:
     """Blocks of every matrix below ``path``; ``names`` (ch_index, channel) replaces channel_<i>."""
     spark.dataSource.register(NpyDataSource)
-    blocks = spark.read.format("npy_blocks").load(path)
+    blocks = spark.read.format("npy_blocks").option("pushdown", pushdown(spark)).load(path)
     if names is None:
         return blocks
     renamed = blocks.drop("channel").join(names, "ch_index", "left").withColumn(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, IsNotNull, LessThan, LessThanOrEqual
 
 
@@ -42,3 +43,12 @@ class Pushed:
             elif not self.ranges[name][0] <= value <= self.ranges[name][1]:
                 return False
         return True
+
+
+def pushdown(spark: SparkSession) -> str:
+    """Whether the session hands predicates to Python sources. If not, Spark refuses a reader that would take them."""
+    return spark.conf.get("spark.sql.python.filterPushdown.enabled", "false").lower()
+
+
+def takes_filters(options: dict) -> bool:
+    return options.get("pushdown", "false").lower() == "true"
