@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import sql as S
 from checks.fixtures import (
-    HOURS, embedding_waves, hourly, nation_contacts, recording_event, supplier_days, table, user_annotations,
+    HOURS, embedding_waves, hourly, nation_contacts, recording_event, supplier_waves, table, user_annotations,
 )
 from checks.registry import check, final, shape
 from wavecairn.functions import arrays, names, wavelets
@@ -325,7 +325,7 @@ _UNEVEN = f"{K} w# n# mean: std: low: high: first: last: slope: residual:"
 @check("e1_assign_windows", S.query(S.supplier_days(), S.windows("s", 28, 7, 2500), """
 g AS (SELECT recording_id, channel, ch_index, w, count(*) AS n, sum(v) AS total, min(i) AS first_i FROM win GROUP BY ALL)""", select=final(_COUNT, "g")))
 def e1(spark, sf):
-    win = panes.window_sums(supplier_days(spark, sf), 28, 7, F.lit(2500))
+    win = panes.window_sums(supplier_waves(spark, sf), 28, 7, F.lit(2500), only=("n", "total", "first_i"))
     return shape(win.select(*CHANNEL, "w", "n", "total", "first_i"), _COUNT)
 
 
@@ -335,8 +335,9 @@ o AS (SELECT recording_id, channel, ch_index, w, count(v) AS n, avg(v) AS mean,
   FROM win GROUP BY ALL)""", select=final(_UNEVEN, "o")))
 def e1b(spark, sf):
     """A step that does not divide the window: two panes a step; missing samples, line fit from the merged sums."""
-    v = F.when(F.col("i") % 11 != 3, F.col("v") + F.col("i") / 100.0)
-    win = panes.window_sums(supplier_days(spark, sf).withColumn("v", v), 30, 7, F.lit(2500))
+    at = lambda k: F.col("i0") + k
+    v = F.transform("v", lambda x, k: F.when(at(k) % 11 != 3, x + at(k) / 100.0))
+    win = panes.window_sums(supplier_waves(spark, sf).withColumn("v", v), 30, 7, F.lit(2500))
     return shape(win.select(*CHANNEL, "w", "n", panes.mean().alias("mean"), F.sqrt(panes.variance()).alias("std"), "low", "high", "first", "last",
                             panes.slope().alias("slope"), (panes.residual_rms() * panes.residual_rms()).alias("residual")), _UNEVEN)
 
@@ -346,7 +347,7 @@ _FEAT = f"{K} w# rms: peak_to_peak: line_length: diff_rms:"
 
 @check("e2_detector_features", S.query(S.supplier_days(), S.windows("s", 28, 7, 2500), S.detector_features(), select=final(_FEAT, "feat")))
 def e2(spark, sf):
-    return shape(features.detector_features(features.window_blocks(supplier_days(spark, sf), 28, 7), 28, 7), _FEAT)
+    return shape(features.detector_features(features.window_blocks(supplier_waves(spark, sf), 28, 7), 28, 7), _FEAT)
 
 
 CUT = 31
@@ -355,13 +356,19 @@ _AFTER = f"cut AS (SELECT * FROM s WHERE i >= {CUT})"
 
 @check("e2_after_crop", S.query(S.supplier_days(), _AFTER, S.windows("cut", 28, 7, 2500), S.detector_features(), select=final(_FEAT, f"(SELECT * FROM feat WHERE w * 7 >= {CUT})")))
 def e2_crop(spark, sf):
-    cut = framing.crop(supplier_days(spark, sf), 1.0, tmin=CUT)
+    cut = framing.crop(supplier_waves(spark, sf), 1.0, tmin=CUT)
     return shape(features.detector_features(features.window_blocks(cut, 28, 7, 1000), 28, 7), _FEAT)
 
 
 _TOUCHED = "w * 7 <= 449 AND w * 7 + 27 >= 400"
 
 
+def _without(arrays, begin, end):
+    """Two arrays a channel: the places before and behind a gap of absent samples."""
+    before, behind = framing.crop_places(arrays, 0, begin), framing.crop_places(arrays, end)
+    return framing.in_parts(before).unionByName(framing.in_parts(behind))
+
+
 _GAP = "w * 25 <= 1299 AND w * 25 + 99 >= 500"
 
 
@@ -370,7 +377,7 @@ o AS (SELECT recording_id, channel, ch_index, w, CASE WHEN {_GAP} THEN NULL ELSE
   CASE WHEN {_GAP} THEN NULL ELSE line_length END AS line_length, CASE WHEN {_GAP} THEN NULL ELSE diff_rms END AS diff_rms FROM feat)""", select=final(_FEAT, "o")))
 def e2_blocks(spark, sf):
     """A gap of two whole blocks and more: the directory names them, so no window is lost."""
-    rows = supplier_days(spark, sf).where(~F.col("i").between(500, 1299))
+    rows = _without(supplier_waves(spark, sf), 500, 1300)
     got = features.detector_features(features.window_blocks(rows, 100, 25, 300), 100, 25)
     return shape(got.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in features.DETECTOR_FEATURES}), _FEAT)
 
@@ -378,7 +385,7 @@ def e2_blocks(spark, sf):
 @check("e2_from_slices", S.query(S.supplier_days(), S.windows("s", 28, 7, 2500), S.detector_features(), select=final(_FEAT, "feat")))
 def e2_slices(spark, sf):
     """The same features out of arrays that are cut at other borders: slices are shuffled, not samples."""
-    arrays = cut_lineage(framing.pack_blocks(supplier_days(spark, sf), 333).select(*CHANNEL, "i0", "v"))
+    arrays = cut_lineage(framing.pack_blocks(supplier_waves(spark, sf), 333).select(*CHANNEL, "i0", "v"))
     return shape(features.detector_features(features.window_blocks(arrays, 28, 7, 1000), 28, 7), _FEAT)
 
 
@@ -388,7 +395,7 @@ o AS (SELECT recording_id, channel, ch_index, w, CASE WHEN {_TOUCHED} THEN NULL
   UNION ALL SELECT k.*, w.range, NULL, NULL, NULL, NULL FROM (SELECT DISTINCT recording_id, channel, ch_index FROM s) k, range(354) w
   WHERE NOT EXISTS (SELECT 1 FROM win x WHERE x.w = w.range) AND w.range * 7 + 28 <= 2500)""", select=final(_FEAT, "o")))
 def e2_absent(spark, sf):
-    rows = supplier_days(spark, sf).where(~F.col("i").between(400, 449))
+    rows = _without(supplier_waves(spark, sf), 400, 450)
     got = features.detector_features(features.window_blocks(rows, 28, 7), 28, 7)
     # Windows that touch absent rows have no value unless a fill is given.
     return shape(got.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in features.DETECTOR_FEATURES}), _FEAT)
@@ -414,7 +421,7 @@ _ENERGY = f"{K} w# energy:"
 @check("e4_band_energy", S.query(S.supplier_days(), S.windows("s", 28, 7, 2500), """
 g AS (SELECT recording_id, channel, ch_index, w, avg(v * v) AS energy FROM win GROUP BY ALL)""", select=final(_ENERGY, "g")))
 def e4(spark, sf):
-    return shape(features.band_energy(supplier_days(spark, sf), 28, 7, F.lit(2500)), _ENERGY)
+    return shape(features.band_energy(supplier_waves(spark, sf), 28, 7, F.lit(2500)), _ENERGY)
 
 
 _STATS = f"{K} w# mean: std: rms: line_length:"
@@ -425,7 +432,7 @@ t AS (SELECT *, i // 50 AS w, v - lag(v) OVER (PARTITION BY recording_id, channe
 g AS (SELECT recording_id, channel, ch_index, w, avg(v) AS mean, stddev_pop(v) AS std, sqrt(avg(v * v)) AS rms, avg(abs(d)) AS line_length
   FROM t GROUP BY ALL)""", select=final(_STATS, "g")))
 def e5(spark, sf):
-    return shape(features.stat_features(supplier_days(spark, sf), 50, F.lit(2500)), _STATS)
+    return shape(features.stat_features(supplier_waves(spark, sf), 50, F.lit(2500)), _STATS)
 
 
 @check("e6_template", S.query(S.waves(), _LONG, _TEMPLATE, select="SELECT channel, CAST(pos AS BIGINT) AS pos, round(tx, 6) + 0.0::DOUBLE AS x FROM tp"))
@@ -441,7 +448,7 @@ _VAR = f"{K} variance: rank#"
 v AS (SELECT recording_id, channel, ch_index, var_pop(v) AS variance FROM s GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY variance DESC, ch_index) AS rank FROM v)""", select=final(_VAR, "r WHERE rank <= 3")))
 def e7(spark, sf):
-    return shape(features.variance_rank(supplier_days(spark, sf), 3), _VAR)
+    return shape(features.variance_rank(supplier_waves(spark, sf), 3), _VAR)
 
 
 _SMOOTH = f"{K} i# smooth:"

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from checks import sql as S
-from checks.fixtures import DAYS, supplier_days, table
+from checks.fixtures import ship_day, supplier_cells, supplier_waves, table
 from checks.registry import check, final, shape
 from wavecairn.operators.framing import CHANNEL, unpack_blocks
 from wavecairn.session import shared_folder
@@ -30,17 +30,14 @@ nt AS (SELECT CAST(l_suppkey AS VARCHAR) AS recording_id, min(date_diff('day', D
 
 def recordings(spark, sf):
     """Folder with a file per supplier: a signal per line number, a marker channel of line counts, an annotation a record."""
-    s = supplier_days(spark, sf)
-    lines = table(spark, sf, "lineitem").select(
-        F.col("l_suppkey").cast("string").alias("recording_id"), F.datediff("l_shipdate", F.lit("1995-01-01").cast("date")).cast("bigint").alias("i"), "l_returnflag")
-    counts = lines.groupBy("recording_id", "i").agg(F.count("*").cast("double").alias("c"))
-    days = lines.select("recording_id").distinct().select("recording_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(DAYS - 1).cast("bigint"))).alias("i"))
-    marks = days.join(counts, ["recording_id", "i"], "left").select(
-        "recording_id", F.lit("MKR1+").alias("channel"), F.lit(7).alias("ch_index"), "i", F.coalesce("c", F.lit(0.0)).alias("v"))
+    s = supplier_waves(spark, sf)
+    lines = table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("recording_id"), ship_day().alias("i"), "l_returnflag")
+    marks = supplier_cells(spark, lines.where("i IS NOT NULL").select(
+        "recording_id", F.lit("MKR1+").alias("channel"), F.lit(7).alias("ch_index"), "i", F.lit(1.0).alias("q")))
     notes = lines.where("l_returnflag = 'R'").groupBy("recording_id", F.floor(F.col("i") / RECORD)).agg(
         F.min("i").cast("double").alias("onset"), F.concat(F.lit("возврат "), F.count("*").cast("string")).alias("description"))
     folder = f"{shared_folder(spark)}/recordings-{uuid.uuid4().hex}"
-    write_edf(s.select(*CHANNEL, "i", F.col("v").cast("double").alias("v")).unionByName(marks), folder, RECORD, float(RECORD), START, notes)
+    write_edf(s.unionByName(marks), folder, RECORD, float(RECORD), START, notes)
     return folder
 
 
