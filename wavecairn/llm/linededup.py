@@ -139,11 +139,14 @@ def _rest_links(hits: DataFrame, texts: DataFrame, comp: DataFrame, t: int, pair
     return cut_lineage(a.join(b, together & _near(t)).select("a", "b"))
 
 
-def class_links(lines: DataFrame, classes: tuple[tuple[int, int], ...]) -> DataFrame:
-    """Links of every length class: (least code points, edits), ascending; the shorter line of a pair decides."""
+def class_links(lines: DataFrame, classes: tuple[tuple[int, int], ...], rounds: int = 0) -> DataFrame:
+    """Links of every length class: (least code points, edits), ascending; the shorter line of a pair decides.
+
+    All of them, unless ``rounds`` of pivots are asked for: then, as in ``edit_links``, links with the same components.
+    """
     found = None
     for (least, t), below in zip(classes, [*[c[0] for c in classes[1:]], None]):
-        part = edit_links(lines, t, least, below=below)
+        part = edit_links(lines, t, least, below=below, rounds=rounds)
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -160,7 +163,7 @@ def line_drops(docs: DataFrame, t: int = 1, least: int = 20, classes: tuple[tupl
     listed = cut_lineage(spread.drop("text"))
     here = F.struct("doc", "version", "place")
     single = cut_lineage(listed.groupBy("line", "line2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")))
-    classes = connected_components(class_links(spread.select("line", "text"), classes or ((least, t),))).withColumnRenamed("node", "line")
+    classes = connected_components(class_links(spread.select("line", "text"), classes or ((least, t),), rounds=2)).withColumnRenamed("node", "line")
     named = single.join(classes, "line", "left").withColumns({
         "c1": F.coalesce("component", "line"), "c2": F.when(F.col("component").isNull(), F.col("line2")).otherwise(F.lit(0))})
     kept = named.where("component IS NOT NULL OR n > 1")
