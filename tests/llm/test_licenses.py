@@ -68,3 +68,12 @@ def test_ties_long_texts_and_an_empty_table(spark):
     assert got.set_index("path").loc["a/q", "license"] == "MIT"
     empty = licenses.scan_licenses(spark.createDataFrame([], "id bigint, path string, text string"))
     assert empty.count() == 0
+
+
+def test_keys_of_texts_are_sixteen_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from wavecairn.llm.licenses import name_of
+
+    row = spark.createDataFrame([("abc",)], "s string").select(name_of(F.col("s")).alias("k"), F.md5("s").alias("h")).first()
+    assert bytes(row["k"]).hex() == row["h"] and len(row["k"]) == 16

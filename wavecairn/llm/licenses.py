@@ -23,6 +23,11 @@ def terms(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), F.array().cast("array<string>"))
 
 
+def name_of(text: Column) -> Column:
+    """MD5 of a text as 16 bytes: the key that travels with its terms, half as long as in digits."""
+    return F.unhex(F.md5(text))
+
+
 def folder(path: Column) -> Column:
     """The path without its last part; empty at the top."""
     return F.regexp_replace(path, r"/?[^/]*$", "")
@@ -70,7 +75,7 @@ def headers(pieces: DataFrame, weights: DataFrame, kinds: DataFrame, cover: floa
     of which each has at least ``cover`` of its squared weight in terms of the template, one of them an anchor.
     Equal pieces are weighed once.
     """
-    held = pieces.withColumn("u", F.md5("piece"))
+    held = pieces.withColumn("u", name_of(F.col("piece")))
     vectors = cut_lineage(_vectors(held.groupBy("u").agg(F.first("piece").alias("piece")), "u", "piece", weights))
     length = vectors.groupBy("u").agg(F.sum(F.col("w") * F.col("w")).alias("all"))
     shared = vectors.join(F.broadcast(kinds), "term").groupBy("u", "t").agg(F.sum(F.col("w") * F.col("w")).alias("part"), F.max("anchor").alias("anchor"))
@@ -114,7 +119,7 @@ def text_licenses(files: DataFrame, least: float = 0.75, cover: float = 0.5, tem
     )
     parts = headers(pieces, weights, kinds, cover).withColumn("entire", F.lit(False)).unionByName(
         found.select("h", F.lower("text").alias("passage"), F.lit(True).alias("entire")))
-    held = cut_lineage(parts.withColumn("pid", F.md5("passage")))
+    held = cut_lineage(parts.withColumn("pid", name_of(F.col("passage"))))
     scored = held.select("h", "pid", "entire").distinct().join(best_cosines(held, weights, kinds), "pid")
     good = F.col("cosine") >= least
     return scored.groupBy("h").agg(
