@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.fixtures import supplier_days, supplier_waves
 from wavecairn.config import DetectorConfig
-from wavecairn.operators import features, panes, robust
+from wavecairn.operators import events, features, panes, robust
 from wavecairn.operators.framing import CHANNEL, crop, in_parts, is_whole, pack_blocks, unpack_blocks, whole
 from wavecairn.plans.detect import detect
 
@@ -89,6 +89,18 @@ def test_detector_on_whole_channels(spark):
     same(got.events.drop("involved_channels"), want.events.drop("involved_channels"), ["recording_id", "start_s"])
 
 
+def test_peaks_meet_arrays(spark):
+    """Scores at the peaks are the same out of rows and arrays, whatever window a channel begins with."""
+    held = spark.createDataFrame(
+        [("a", "c0", 0, [0, 1, 2], [1.0, 5.0, 2.0]), ("a", "c1", 1, [2, 3], [7.0, 8.0]), ("b", "c0", 0, [4], [9.0]), ("b", "c1", 1, [], [])],
+        "recording_id string, channel string, ch_index int, w array<bigint>, score array<double>")
+    runs = spark.createDataFrame([("a", 0, 1, 3.0), ("a", 2, 2, 3.0), ("b", 4, 4, 3.0)], "recording_id string, first_w bigint, peak_w bigint, used_threshold double")
+    columns = ["recording_id", "first_w", "channel", "ch_index", "_cs", "used_threshold"]
+    got = events._at_peaks(runs, held).where("_cs IS NOT NULL").select(*columns)
+    want = events._at_peaks(runs, held.select(*CHANNEL, F.inline(F.arrays_zip("w", "score")))).select(*columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 4
+
+
 def test_days_are_never_shuffled(spark):
     waves = supplier_waves(spark, SF)
     assert waves.count() == waves.select(*CHANNEL).distinct().count()
