@@ -329,7 +329,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY correlatio
   row_number() OVER (PARTITION BY recording_id ORDER BY correlation, ch_index DESC) AS bottom FROM cr WHERE correlation IS NOT NULL)""", select=final(_COR, "o WHERE top <= 2 OR bottom <= 2")))
 def i7(spark, sf):
     s = supplier_waves(spark, sf)
-    feats = cut_lineage(PT.window_vectors(s, 64))
+    feats = cut_lineage(PT.window_vectors(s, 64).select(*CHANNEL, "w", "energies"))
     score = graph.detail_energy_score(feats, F.col("channel").isin("L2", "L3"))
     return shape(graph.extremes(graph.channel_score_corr(feats, score, r"^L2$"), "correlation", 2), _COR)
 
@@ -359,7 +359,7 @@ o AS (SELECT rp.recording_id, rp.channel, ch_index, rp.w, energies[1] AS a, ener
 def a10_nodes(spark, sf):
     """Stored nodes with their feature arrays, reloaded for a range of windows."""
     s = supplier_waves(spark, sf)
-    feats = cut_lineage(PT.window_vectors(s, 64))
+    feats = cut_lineage(PT.window_vectors(s, 64).select(*CHANNEL, "w", "energies", "stats"))
     nodes = graph.window_nodes(feats, recording_event(s, AT), 1.0, 64, F.col("channel").isin("L2", "L3"))
     back = tables.read_windows(tables.write_nodes(nodes), 15, 20)
     at = lambda k: F.get("features", F.lit(k))

@@ -4,11 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from checks.fixtures import supplier_days, supplier_waves
+from checks.fixtures import recording_event, supplier_days, supplier_waves
 from wavecairn.config import DetectorConfig
-from wavecairn.operators import events, features, panes, robust
+from wavecairn.operators import ensemble, events, features, graph, panes, robust
 from wavecairn.operators.framing import CHANNEL, crop, in_parts, is_whole, pack_blocks, unpack_blocks, whole
 from wavecairn.plans.detect import detect
+from wavecairn.plans.temporal import temporal_graph
 
 SF = "/root/testdata/sf0.001"
 
@@ -101,6 +102,20 @@ def test_peaks_meet_arrays(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 4
 
 
+def test_links_out_of_waves(spark):
+    """Vectors made where the channels of a window meet give the links of vectors made before; the vectors are neither written nor shuffled."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=64)
+    rows = [("r", f"c{c}", c, w, [None if rng.random() < 0.02 else float(x) for x in base * (c % 3) + rng.normal(size=64)]) for c in range(6) for w in range(3)]
+    waves = spark.createDataFrame(rows, "recording_id string, channel string, ch_index int, w bigint, wave array<double>").localCheckpoint()
+    by = ["recording_id", "w"]
+    want = graph.correlation_links(ensemble.wavelet_representation(waves, "db4", 3), by, 0.1, 6)
+    got = graph.correlation_links(waves.withColumnRenamed("wave", "x"), by, 0.1, 6, prepare=lambda m: ensemble.standardised_bands(m, "db4", 3))
+    same(got, want, [*by, "channel", "other"])
+    found = temporal_graph(supplier_waves(spark, SF), 64, 7, F.col("channel").isin("L2"), recording_event(supplier_waves(spark, SF), 1200.0), 1.0)
+    assert "energies" not in found.edges._jdf.queryExecution().executedPlan().toString()
+
+
 def test_days_are_never_shuffled(spark):
     waves = supplier_waves(spark, SF)
     assert waves.count() == waves.select(*CHANNEL).distinct().count()

@@ -97,7 +97,10 @@ def dfa_exponent(wave: Column, points: int, scales: tuple[int, ...] = (4, 8, 16,
 
 def _stack(waves: pd.Series) -> np.ndarray:
     """Equally long arrays as a matrix; missing samples take the median of their row, or 0."""
-    rows = np.stack(waves.to_numpy()).astype(float)
+    return _filled_rows(np.stack(waves.to_numpy()).astype(float))
+
+
+def _filled_rows(rows: np.ndarray) -> np.ndarray:
     gaps = ~np.isfinite(rows)
     for k in np.flatnonzero(gaps.any(axis=1)):
         rows[k, gaps[k]] = 0.0 if gaps[k].all() else np.median(rows[k, ~gaps[k]])
@@ -108,6 +111,15 @@ def _log_energies(bands: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.log1p(np.mean(b * b, axis=1)) for b in bands], axis=1)
 
 
+def _standardised(bands: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([(b - b.mean(axis=1, keepdims=True)) / (b.std(axis=1, keepdims=True) + 1e-12) for b in bands], axis=1)
+
+
+def standardised_bands(rows: np.ndarray, wavelet: str, level: int) -> np.ndarray:
+    """The vectors ``x`` of ``wavelet_representation`` for a matrix of waves, where a task holds them."""
+    return _standardised(decompose_rows(_filled_rows(rows.astype(float)), wavelet, level))
+
+
 def dwt_energies(waves: DataFrame, wavelet: str, level: int, column: str = "wave") -> DataFrame:
     """``detail_energies``: log energy of the detail bands, coarse to fine.
 
@@ -135,9 +147,8 @@ def wavelet_representation(waves: DataFrame, wavelet: str, level: int, column: s
         rows = _stack(series)
         bands = decompose_rows(rows, wavelet, level)
         stats = [rows.mean(axis=1), rows.std(axis=1), np.sqrt(np.mean(rows * rows, axis=1)), np.abs(np.diff(rows, axis=1)).mean(axis=1)]
-        unit = [(b - b.mean(axis=1, keepdims=True)) / (b.std(axis=1, keepdims=True) + 1e-12) for b in bands]
         return pd.DataFrame({
-            "energies": list(_log_energies(bands)), "stats": list(np.stack(stats, axis=1)), "x": list(np.concatenate(unit, axis=1)),
+            "energies": list(_log_energies(bands)), "stats": list(np.stack(stats, axis=1)), "x": list(_standardised(bands)),
         })
 
     kept = waves.columns

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -23,14 +25,16 @@ TIE_DIGITS = 9
 
 
 def correlation_links(
-    vectors: DataFrame, by: list[str], threshold: float, n_channels: int, strongest: int | None = None, tile: int = TILE
+    vectors: DataFrame, by: list[str], threshold: float, n_channels: int, strongest: int | None = None, tile: int = TILE,
+    prepare: Callable[[np.ndarray], np.ndarray] | None = None,
 ) -> DataFrame:
     """Directed rows (channel, other, r) with abs(r) >= threshold; undefined correlations count as 0.
 
     ``vectors``: by + channel, ch_index, x (equally long arrays inside a group). Channels are cut
     into tiles and every pair of tiles is one matrix product. With ``strongest`` each tile keeps
     that many links per channel, which contains the overall strongest ones, so pairs that cannot
-    survive pruning never leave the task.
+    survive pruning never leave the task. ``prepare`` makes the vectors out of the arrays ``x`` inside the task,
+    so that the arrays are shuffled where they are smaller.
     """
     tiles = max(1, -(-n_channels // tile))
     own = F.floor(F.col("ch_index") / tile).cast("int")
@@ -57,12 +61,20 @@ def correlation_links(
         for batch in batches:
             tall = batch.column(batch.schema.get_field_index("_m"))
             rows, index, name = tall.offsets.to_numpy(), tall.values.field("ch_index").to_numpy(), tall.values.field("channel")
-            vectors, starts = tall.values.field("x").values.to_numpy(), tall.values.field("x").offsets.to_numpy()
+            vectors, starts = tall.values.field("x").values.to_numpy(zero_copy_only=False), tall.values.field("x").offsets.to_numpy()
             ta, tb = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("ta", "tb"))
             found = []
+            # Prepared at once where all arrays of the batch are equally long, else group by group.
+            lengths = np.diff(starts)
+            ready = prepare(vectors[starts[0] : starts[-1]].reshape(len(lengths), -1)) if prepare and len(set(lengths)) == 1 else None
             for k in range(batch.num_rows):
                 a, b = rows[k], rows[k + 1]
-                unit = _unit_rows(vectors[starts[a] : starts[b]].reshape(b - a, -1))
+                if ready is None:
+                    held = vectors[starts[a] : starts[b]].reshape(b - a, -1)
+                    held = prepare(held) if prepare else held
+                else:
+                    held = ready[a - rows[0] : b - rows[0]]
+                unit = _unit_rows(held)
                 home = index[a:b] // tile
                 left, right = np.flatnonzero(home == ta[k]), np.flatnonzero(home == tb[k])
                 r = np.clip(unit[left] @ unit[right].T, -1.0, 1.0)
@@ -111,8 +123,10 @@ def prune_edges(links: DataFrame, by: list[str], top_k: int) -> DataFrame:
     ).groupBy(*by, "src", "dst", "src_index", "dst_index").agg(F.first("r").alias("weight"))
 
 
-def correlation_graph(vectors: DataFrame, by: list[str], threshold: float, top_k: int, n_channels: int) -> DataFrame:
-    return prune_edges(correlation_links(vectors, by, threshold, n_channels, top_k), by, top_k)
+def correlation_graph(
+    vectors: DataFrame, by: list[str], threshold: float, top_k: int, n_channels: int, prepare: Callable[[np.ndarray], np.ndarray] | None = None
+) -> DataFrame:
+    return prune_edges(correlation_links(vectors, by, threshold, n_channels, top_k, prepare=prepare), by, top_k)
 
 
 def series_vectors(z: DataFrame, by: list[str] | None = None, value: str = "z") -> DataFrame:

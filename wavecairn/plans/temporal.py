@@ -24,25 +24,37 @@ class TemporalGraph(NamedTuple):
     correlates: DataFrame
 
 
+def window_waves(samples: DataFrame, window: int) -> DataFrame:
+    """Complete tumbling windows: CHANNEL, w, wave."""
+    blocks = pack_blocks(clean(samples), window).where(F.size("v") == window)
+    return blocks.select(*CHANNEL, F.col("block").alias("w"), F.col("v").alias("wave"))
+
+
 def window_vectors(samples: DataFrame, window: int, wavelet: str = "db4", max_level: int = 5) -> DataFrame:
     """Wavelet energies, statistics and standardised vectors of complete tumbling windows."""
-    blocks = pack_blocks(clean(samples), window).where(F.size("v") == window)
-    waves = blocks.select(*CHANNEL, F.col("block").alias("w"), F.col("v").alias("wave"))
-    return ensemble.wavelet_representation(waves, wavelet, usable_level(window, wavelet, max_level)).drop("wave")
+    level = usable_level(window, wavelet, max_level)
+    return ensemble.wavelet_representation(window_waves(samples, window), wavelet, level).drop("wave")
 
 
 def temporal_graph(
     samples: DataFrame, window: int, n_channels: int, known_channels: Column, context: DataFrame, sfreq: float,
     wavelet: str = "db4", threshold: float = 0.65, top_k: int = 6, exclude: str | None = None,
 ) -> TemporalGraph:
-    """One run over all windows of all recordings; windows are independent groups of channels."""
-    features = cut_lineage(window_vectors(samples, window, wavelet))
-    edges = graph.correlation_graph(features, [*REC, "w"], threshold, top_k, n_channels)
-    score = cut_lineage(graph.detail_energy_score(features, known_channels))
+    """One run over all windows of all recordings; windows are independent groups of channels.
+
+    Energies are written once. The links take the waves, whose vectors are made where the channels of a window
+    meet; ``features`` has the vectors too and makes them when asked for.
+    """
+    features = window_vectors(samples, window, wavelet)
+    energies = cut_lineage(features.select(*CHANNEL, "w", "energies"))
+    level = usable_level(window, wavelet, 5)
+    waves = window_waves(samples, window).withColumnRenamed("wave", "x")
+    edges = graph.correlation_graph(waves, [*REC, "w"], threshold, top_k, n_channels, lambda rows: ensemble.standardised_bands(rows, wavelet, level))
+    score = cut_lineage(graph.detail_energy_score(energies, known_channels))
     at = context.select(*REC, F.floor(F.floor(F.col("time_s") * sfreq) / window).cast("bigint").alias("w"))
     edges = edges.join(at.withColumn("known_event", F.lit(True)), [*REC, "w"], "left").withColumn(
         "known_event", F.coalesce("known_event", F.lit(False))
     )
     known = events.score_at(score.withColumn("method", F.lit("event_score")), at)
-    correlates = graph.extremes(graph.channel_score_corr(features, score, exclude), "correlation")
+    correlates = graph.extremes(graph.channel_score_corr(energies, score, exclude), "correlation")
     return TemporalGraph(features, edges, score, known, correlates)
