@@ -337,7 +337,8 @@ def e1b(spark, sf):
     """A step that does not divide the window: two panes a step; missing samples, line fit from the merged sums."""
     at = lambda k: F.col("i0") + k
     v = F.transform("v", lambda x, k: F.when(at(k) % 11 != 3, x + at(k) / 100.0))
-    win = panes.window_sums(supplier_waves(spark, sf).withColumn("v", v), 30, 7, F.lit(2500))
+    only = ("n", "total", "squares", "places", "place_squares", "moment", "low", "high", "first", "last")
+    win = panes.window_sums(supplier_waves(spark, sf).withColumn("v", v), 30, 7, F.lit(2500), only=only)
     return shape(win.select(*CHANNEL, "w", "n", panes.mean().alias("mean"), F.sqrt(panes.variance()).alias("std"), "low", "high", "first", "last",
                             panes.slope().alias("slope"), (panes.residual_rms() * panes.residual_rms()).alias("residual")), _UNEVEN)
 
