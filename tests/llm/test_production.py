@@ -108,3 +108,20 @@ def test_no_clean_document_leaves_with_language_id(spark):
     assert {d + 1_000_000 for d in clean} <= kept
     letters = {r["doc_id"] + 2_000_000 for r in docs.collect() if any(c.isalpha() for c in (r["text"] or "")[:20])}
     assert letters <= kept
+
+
+def test_all_classes_take_one_pass_over_first_places(spark):
+    """Keys of every class come out of one plan, and a repeated line makes them once."""
+    from pyspark.sql import functions as F
+
+    long = "one fairly long line of a text that is repeated here and there without any change at all, "
+    docs = spark.createDataFrame([(1, f"{long}\n{long}\nshort line of some words"), (2, f"{long}\nshort line of some word"), (None, long)], "doc_id long, text string")
+    spread = linededup.occurrences(docs)
+    single = spread.groupBy("line", "line2").agg(F.min(F.struct("doc", "version", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
+    got = [r["text"] for r in linededup.firsts(docs, spread.drop("text"), single).collect()]
+    assert sorted(got) == sorted([long, "short line of some words", "short line of some word"])
+    kinds = linededup.ranges(linededup.PRODUCTION)
+    keys = linededup.segment_keys(spark.createDataFrame([(n, "".join(chr(97 + (7 * k + k // 5) % 26) for k in range(n))) for n in (19, 20, 59, 60, 61, 120, 200, 203, 204)], "line long, text string"), kinds)
+    found = {(r["line"], r["t"]) for r in keys.select("line", "t").distinct().collect()}
+    assert found == {(20, 1), (59, 1), (60, 1), (60, 2), (61, 2), (120, 2), (120, 3), (200, 3), (200, 4), (203, 4), (204, 4)}
+    assert keys.groupBy("key").agg(F.count_distinct("t").alias("n")).where("n > 1").count() == 0

@@ -20,7 +20,7 @@ from wavecairn.session import cut_lineage
 PRODUCTION = ((20, 1), (60, 2), (120, 3), (200, 4))
 
 
-def segment(goal: Column, i: Column, t: int) -> tuple[Column, Column]:
+def segment(goal: Column, i: Column, t: Column) -> tuple[Column, Column]:
     """First place (from 0) and length of segment i of the t+1 even segments of a line of length ``goal``."""
     begin, end = (F.floor(goal * k / (t + 1)).cast("int") for k in (i, i + 1))
     return begin, end - begin
@@ -36,43 +36,60 @@ def probes(t: int) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda p: (p[0] != 0 or p[2] != 0, p))
 
 
-def _table(t: int) -> Column:
-    """``probes`` as an array of structs (n, d, i, o): one small expression a row for any t, not one for every probe."""
-    return F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("ndio", (n, *p))]) for n, p in enumerate(probes(t))])
+def ranges(classes: tuple[tuple[int, int], ...], below: int | None = None) -> list[tuple[int, int, int]]:
+    """(least, most, t) of every class: the code points that a pair's shorter line has, and its edits."""
+    ends = [*[least for least, _ in classes[1:]], below or 1 << 31]
+    return [(least, end - 1, t) for (least, t), end in zip(classes, ends)]
 
 
-def _hash(group: Column, text: Column, goal: Column, i: Column, shift: Column, t: int) -> Column:
+def _table(size: Column, classes: list[tuple[int, int, int]]) -> Column:
+    """What a line of ``size`` probes for, as an array of structs (t, least, most, d, i, o): one small expression a row for any t.
+
+    A line longer than a class by up to t probes for its lines too, so near a border there are the probes of two classes.
+    """
+    found = F.when(F.lit(False), F.array(_probe(classes[0], (0, 0, 0))))
+    for border in sorted({least for least, _, _ in classes} | {most + t + 1 for _, most, t in classes}, reverse=True):
+        here = [c for c in classes if c[0] <= border <= c[1] + c[2]]
+        if here:
+            found = found.when(size >= border, F.array(*[_probe(c, p) for c in here for p in probes(c[2])]))
+        else:
+            found = found.when(size >= border, F.lit(None))
+    return found
+
+
+def _probe(kind: tuple[int, int, int], p: tuple[int, int, int]) -> Column:
+    least, most, t = kind
+    return F.struct(*[F.lit(v).alias(c) for c, v in zip(("t", "least", "most", "d", "i", "o"), (t, least, most, *p))])
+
+
+def _hash(group: Column, text: Column, goal: Column, i: Column, shift: Column, t: Column) -> Column:
     """Hash of the segment at its shifted place."""
     begin, length = segment(goal, i, t)
     return F.xxhash64(group, i, goal, F.substr(text, begin + shift + 1, length))
 
 
-def _inside(size: Column, goal: Column, i: Column, shift: Column, t: int) -> Column:
+def _inside(size: Column, goal: Column, i: Column, shift: Column, t: Column) -> Column:
     """Whether the segment at its shifted place lies inside the line; told before any text is cut or hashed."""
     begin, length = segment(goal, i, t)
     return (begin + shift >= 0) & (begin + shift + length <= size)
 
 
-def segment_keys(lines: DataFrame, t: int, least: int, below: int | None = None) -> DataFrame:
-    """All keys of (line, text): line, text, size, n (which of ``probes``), key. The row-wise work is kept small.
+def segment_keys(lines: DataFrame, classes: list[tuple[int, int, int]]) -> DataFrame:
+    """All keys of (line, text) for the ``ranges`` of classes: line, t, own (a segment of the line itself), key.
 
-    With ``below``, only keys for a shorter line of ``least`` to ``below - 1`` code points.
+    The class follows from the length in the key, so one pass makes the keys of all classes, and none of two
+    classes are equal. The row-wise work is kept small.
     """
-    sized = lines.withColumn("size", F.length("text")).where(F.col("size") >= least)
-    if below is not None:
-        sized = sized.where(F.col("size") < below + t)
-    tall = sized.select("line", "text", "size", F.explode(_table(t)).alias("p"))
-    goal = F.col("size") - F.col("p.d")
-    if below is not None:
-        tall = tall.where(goal.between(least, below - 1))
-    tall = tall.where(_inside(F.col("size"), goal, F.col("p.i"), F.col("p.o"), t))
-    key = _hash(F.lit(0), F.col("text"), goal, F.col("p.i"), F.col("p.o"), t)
-    return tall.select("line", "text", "size", F.col("p.n").alias("n"), key.alias("key"))
-
-
-def _near(t: int) -> Column:
+    tall = lines.withColumn("size", F.length("text")).select("line", "text", "size", F.explode(_table(F.col("size"), classes)).alias("p"))
+    goal, place = F.col("size") - F.col("p.d"), (F.col("p.i"), F.col("p.o"), F.col("p.t"))
+    tall = tall.where(goal.between(F.col("p.least"), F.col("p.most")) & _inside(F.col("size"), goal, *place))
+    key = _hash(F.lit(0), F.col("text"), goal, *place)
+    return tall.select("line", F.col("p.t").alias("t"), ((F.col("p.d") == 0) & (F.col("p.o") == 0)).alias("own"), key.alias("key"))
+
+
+def _near() -> Column:
     """Within ``t`` edits, with the same digits in order: what is cheap is asked first."""
-    return (F.abs(F.length("x") - F.length("y")) <= t) & (F.col("dx") == F.col("dy")) & (F.levenshtein("x", "y", t) >= 0)
+    return (F.abs(F.length("x") - F.length("y")) <= F.col("t")) & (F.col("dx") == F.col("dy")) & (F.expr("levenshtein(x, y, t)") >= 0)
 
 
 def _side(texts: DataFrame, line: str, text: str, digits: str) -> DataFrame:
@@ -86,20 +103,23 @@ def _labels(texts: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def edit_links(lines: DataFrame, t: int = 1, least: int = 20, below: int | None = None, rounds: int = 2, pair_rows: int = 256) -> DataFrame:
-    """Links (a, b) of lines within ``t`` edits and with the same digits in order; their components are those of all such links.
+    """``class_links`` of one class: lines of ``least`` code points or more, the shorter of a pair under ``below``."""
+    return _links(lines, ranges(((least, t),), below), rounds, pair_rows)
+
+
+#: The weight of an own key in the sum that counts a key's lines.
+OWN = 1 << 32
 
-    ``lines`` has line (a hash of the text) and text, occurrences included. Only lines of ``least`` code
-    points or more take part; with ``below``, only pairs whose shorter line has fewer than that. In ``rounds``
-    rounds the lines of each key are compared with one of them, a pivot that changes from round to round. So a
-    ball of near lines gives a link for each line, and no pair of it is formed. Lines that lie in different
-    components after that meet once for each pair of lines, however many keys they share.
+
+def _links(lines: DataFrame, classes: list[tuple[int, int, int]], rounds: int, pair_rows: int = 256) -> DataFrame:
+    """All classes at once; see ``class_links``.
+
+    Keys of one line that comes twice are let through here: they link nothing. So the key and a count are all that is shuffled.
     """
-    keyed = segment_keys(lines, t, least, below)
-    shared = cut_lineage(
-        keyed.groupBy("key").agg(F.min("line").alias("lo"), F.max("line").alias("hi"), F.min("n").alias("n"))
-        .where(f"lo <> hi AND n <= {t}").select("key")
-    )
-    hits = cut_lineage(keyed.select("key", "line", (F.col("n") <= t).alias("own")).join(small(shared, 1_000_000), "key").groupBy("key", "line").agg(F.max("own").alias("own")))
+    keyed = segment_keys(lines, classes)
+    weight = F.when(F.col("own"), F.lit(OWN + 1)).otherwise(F.lit(1).cast("bigint"))
+    shared = cut_lineage(keyed.groupBy("key").agg(F.sum(weight).alias("n")).where((F.col("n") >= OWN) & (F.col("n") % OWN > 1)).select("key"))
+    hits = cut_lineage(keyed.join(small(shared, 1_000_000), "key").groupBy("key", "line").agg(F.max("own").alias("own"), F.max("t").alias("t")))
     wanted = hits.select("line").distinct()
     digits = F.regexp_replace("text", r"[^0-9]+", "")
     texts = cut_lineage(lines.join(small(wanted, 1_000_000), "line", "left_semi").groupBy("line").agg(F.first("text").alias("text")).withColumn("digits", digits))
@@ -109,16 +129,16 @@ def edit_links(lines: DataFrame, t: int = 1, least: int = 20, below: int | None
         placed = hits.join(comp, "line")
         order = F.struct(F.xxhash64(F.lit(number), "line").alias("o"), F.col("line").alias("a"), F.col("comp").alias("ca"))
         pivots = placed.groupBy("key").agg(F.min(order).alias("p"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key", "p.a", "p.ca")
-        pairs = placed.join(pivots, "key").where("comp <> ca").select("a", F.col("line").alias("b")).distinct()
-        true = pairs.join(_side(texts, "b", "y", "dy"), "b").join(_side(texts, "a", "x", "dx"), "a").where(_near(t)).select("a", "b")
+        pairs = placed.join(pivots, "key").where("comp <> ca").groupBy("a", F.col("line").alias("b")).agg(F.max("t").alias("t"))
+        true = pairs.join(_side(texts, "b", "y", "dy"), "b").join(_side(texts, "a", "x", "dx"), "a").where(_near()).select("a", "b")
         true = cut_lineage(true)
         found = true if found is None else found.unionByName(true)
         comp = _labels(texts, found)
-    rest = _rest_links(hits, texts, comp, t, pair_rows, 2 if rounds else 1)
+    rest = _rest_links(hits, texts, comp, pair_rows, 2 if rounds else 1)
     return (rest if found is None else found.unionByName(rest)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _rest_links(hits: DataFrame, texts: DataFrame, comp: DataFrame, t: int, pair_rows: int, met: int) -> DataFrame:
+def _rest_links(hits: DataFrame, texts: DataFrame, comp: DataFrame, pair_rows: int, met: int) -> DataFrame:
     """Links between lines of different components that share a key, index side against probe side.
 
     Of keys with the same lines only one is kept. Keys of at most ``met`` lines
@@ -133,22 +153,22 @@ def _rest_links(hits: DataFrame, texts: DataFrame, comp: DataFrame, t: int, pair
     rows = cut_lineage(placed.join(small(single, 1_000_000), "key").withColumn("chunk", F.pmod(F.xxhash64("line"), F.col("chunks"))))
     full = rows.join(texts, "line")
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))
-    a = full.where("own").withColumn("other", every).select("key", F.col("chunk").alias("ka"), F.col("other").alias("kb"), F.col("line").alias("a"), F.col("comp").alias("ca"), F.col("text").alias("x"), F.col("digits").alias("dx"))
+    a = full.where("own").withColumn("other", every).select("key", F.col("chunk").alias("ka"), F.col("other").alias("kb"), F.col("line").alias("a"), "t", F.col("comp").alias("ca"), F.col("text").alias("x"), F.col("digits").alias("dx"))
     b = full.withColumn("other", every).select(F.col("key").alias("k"), F.col("other").alias("la"), F.col("chunk").alias("lb"), F.col("line").alias("b"), F.col("comp").alias("cb"), F.col("text").alias("y"), F.col("digits").alias("dy"))
     together = (F.col("key") == F.col("k")) & (F.col("ka") == F.col("la")) & (F.col("kb") == F.col("lb")) & (F.col("ca") != F.col("cb"))
-    return cut_lineage(a.join(b, together & _near(t)).select("a", "b"))
+    return cut_lineage(a.join(b, together & _near()).select("a", "b"))
 
 
 def class_links(lines: DataFrame, classes: tuple[tuple[int, int], ...], rounds: int = 0) -> DataFrame:
-    """Links of every length class: (least code points, edits), ascending; the shorter line of a pair decides.
+    """Links (a, b) of lines near each other and with the same digits in order; the shorter line of a pair decides how near.
 
-    All of them, unless ``rounds`` of pivots are asked for: then, as in ``edit_links``, links with the same components.
+    ``classes`` are (least code points, edits), ascending; shorter lines take no part. ``lines`` has line (a hash of
+    the text) and text, occurrences included. All links are found unless ``rounds`` of pivots are asked for: then
+    links with the same components. In each round the lines of each key are compared with one of them, a pivot that
+    changes from round to round. So a ball of near lines gives a link for each line, and no pair of it is formed.
+    Lines that lie in different components after that meet once for each pair of lines, however many keys they share.
     """
-    found = None
-    for (least, t), below in zip(classes, [*[c[0] for c in classes[1:]], None]):
-        part = edit_links(lines, t, least, below=below, rounds=rounds)
-        found = part if found is None else found.unionByName(part)
-    return found
+    return _links(lines, ranges(classes), rounds)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -157,13 +177,28 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return tall.where(F.trim("text") != "").select("doc", "version", "place", F.xxhash64("text").alias("line"), F.xxhash64(F.lit(1), "text").alias("line2"), "text")
 
 
+def firsts(docs: DataFrame, listed: DataFrame, single: DataFrame) -> DataFrame:
+    """(line, text) of every line that is not blank, read at its first place only: the keys of repeats are never made.
+
+    ``listed`` are all places, ``single`` the first of each line. Rows with equal doc_id and text are both read.
+    """
+    here = F.struct("doc", "version", "place")
+    again = listed.join(single.where("n > 1").select("line", "line2", "first"), ["line", "line2"]).where(here != F.col("first"))
+    repeats = cut_lineage(again.groupBy("doc", "version").agg(F.collect_set("place").alias("places")))
+    base = docs.select("doc_id", F.xxhash64("text").alias("_version"), F.split("text", "\n").alias("_lines")).where("_lines IS NOT NULL")
+    joined = base.join(small(repeats, 8_000_000, F.size("places") + 16), F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("_version") == F.col("version")), "left")
+    every = F.sequence(F.lit(0), F.size("_lines") - 1)
+    kept = F.when(F.col("places").isNull(), F.col("_lines")).otherwise(F.transform(F.array_except(every, F.col("places")), lambda k: F.get("_lines", k)))
+    return joined.select(F.explode(kept).alias("text")).where(F.trim("text") != "").select(F.xxhash64("text").alias("line"), "text")
+
+
 def line_drops(docs: DataFrame, t: int = 1, least: int = 20, classes: tuple[tuple[int, int], ...] | None = None) -> DataFrame:
     """Places to drop per document: doc, version, places, n_exact, n_near."""
     spread = occurrences(docs)
     listed = cut_lineage(spread.drop("text"))
     here = F.struct("doc", "version", "place")
     single = cut_lineage(listed.groupBy("line", "line2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")))
-    classes = connected_components(class_links(spread.select("line", "text"), classes or ((least, t),), rounds=2)).withColumnRenamed("node", "line")
+    classes = connected_components(class_links(firsts(docs, listed, single), classes or ((least, t),), rounds=2)).withColumnRenamed("node", "line")
     named = single.join(classes, "line", "left").withColumns({
         "c1": F.coalesce("component", "line"), "c2": F.when(F.col("component").isNull(), F.col("line2")).otherwise(F.lit(0))})
     kept = named.where("component IS NOT NULL OR n > 1")
