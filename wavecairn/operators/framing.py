@@ -135,8 +135,10 @@ def pack_blocks(
     # Rows are shuffled as they are and collected once; a map-side collect would not shrink them.
     packed = routed.groupBy(*keys, "block").agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("_parts"))
     # Both sides name the same columns of the same exchange, so Spark runs it once.
-    end = F.col("at") + F.size("part") - 1 if sliced else F.col("at")
-    known = routed.groupBy(*keys).agg(F.min(F.struct("at", "part"))["at"].alias("_lo"), F.max(F.struct(end.alias("end"), "part"))["end"].alias("_hi"))
+    if sliced:
+        known = routed.groupBy(*keys).agg(F.min("at").alias("_lo"), F.max(F.col("at") + F.size("part") - 1).alias("_hi"))
+    else:
+        known = routed.groupBy(*keys).agg(F.min(F.struct("at", "part"))["at"].alias("_lo"), F.max(F.struct("at", "part"))["at"].alias("_hi"))
     blocks = known.select(*keys, "_lo", "_hi", F.explode(F.sequence(F.floor(F.col("_lo") / block), F.floor(F.col("_hi") / block))).alias("block"))
     placed = packed.join(blocks, [*keys, "block"], "right")
     first = F.greatest(F.col("_lo"), F.col("block") * block - before)
@@ -144,9 +146,10 @@ def pack_blocks(
     missing = F.lit(None).cast(kind)
     parts = F.coalesce("_parts", F.array().cast(packed.schema["_parts"].dataType))
     if sliced:
-        begin = F.array().cast(T.ArrayType(kind))
-        joined = lambda done, p: F.concat(done, F.array_repeat(missing, (p["at"] - F.col("i0")).cast("int") - F.size(done)), p["part"])
-        whole = F.aggregate("_parts", begin, joined)
+        # What is missing before each slice, and the slice: arrays of arrays, so no value is taken out of its array.
+        last_end = lambda k: F.coalesce(F.get("_parts", k - 1)["at"] + F.size(F.get("_parts", k - 1)["part"]), F.col("i0"))
+        pieces = F.transform("_parts", lambda p, k: F.array(F.array_repeat(missing, (p["at"] - last_end(k)).cast("int")), p["part"]))
+        whole = F.flatten(F.flatten(pieces))
         values = F.concat("_v", F.array_repeat(missing, F.col("_n") - F.size("_v")))
         filled = placed.select(*keys, "block", first.alias("i0"), (last - first + 1).cast("int").alias("_n"), parts.alias("_parts"))
         return filled.withColumn("_v", whole).select(*keys, "block", "i0", (F.col("block") * block).alias("own0"), values.alias("v"))
@@ -241,6 +244,20 @@ def crop_places(samples: DataFrame, begin: int, end: int | None = None) -> DataF
     return cut.withColumn("i0", whole(F.col("i0"))) if is_whole(samples) else cut
 
 
+def without_places(samples: DataFrame, begin: int, end: int) -> DataFrame:
+    """Arrays without the places ``begin`` to ``end`` - 1: up to two parts of each, out of one pass."""
+    stop = F.col("i0") + F.size("v")
+
+    def part(low: Column, high: Column) -> Column:
+        values = F.slice("v", (low - F.col("i0") + 1).cast("int"), F.greatest(F.lit(0), high - low).cast("int"))
+        return F.struct(low.alias("i0"), values.alias("v"))
+
+    parts = F.array(part(F.col("i0"), F.least(stop, F.lit(begin).cast("bigint"))), part(F.greatest(F.col("i0"), F.lit(end).cast("bigint")), stop))
+    rest = [c for c in samples.columns if c not in ("i0", "v")]
+    cut = samples.select(*rest, F.explode(parts).alias("_p")).select(*rest, F.col("_p.i0").alias("i0", metadata={"whole": False}), F.col("_p.v").alias("v"))
+    return cut.where(F.size("v") > 0)
+
+
 def in_intervals(rows: DataFrame, at: Column, intervals: list[tuple[str, float, float]]) -> DataFrame:
     """One row per half-open interval [lo, hi) that holds ``at``; its name is in ``phase``.
 
