@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from wavecairn.session import cut_lineage
 
 
+#: Links that a task of a round gets at least, so that a few links do not become a file for each shuffle partition.
+TASK_ROWS = 20_000
+
+
 def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, component) of every node of ``edges(a, b)``; the component is the smallest node in it.
 
     Each round is one minimum per node, combined before the shuffle, and one join of the edges with it:
     a node with very many edges is a skewed join side that Spark splits, never one group in memory. Rounds
     end when nothing changes, after about the logarithm of the longest path. Self-links keep a node.
+    The number of tasks follows the counted links, up to the session's shuffle partitions.
     """
     links = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    tasks = -(-links.count() // TASK_ROWS) or 1
 
     def star(pairs: DataFrame, both: bool) -> DataFrame:
         """Large star: every larger neighbour moves to the smallest one; small star: every smaller one does."""
@@ -28,9 +34,9 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
             moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             # A node keeps its own link to the root.
             own = least.select("u", F.col("m").alias("v"))
-            return moved.unionByName(own).distinct()
+            return moved.unionByName(own).coalesce(tasks).distinct().coalesce(tasks)
         moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        return moved.unionByName(least.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks)
 
     for _ in range(rounds):
         nxt = cut_lineage(star(cut_lineage(star(links, True)), False))
