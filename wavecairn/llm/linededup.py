@@ -98,7 +98,7 @@ def _side(texts: DataFrame, line: str, text: str, digits: str) -> DataFrame:
 
 def _labels(texts: DataFrame, links: DataFrame) -> DataFrame:
     """(line, comp) of every line of ``texts``."""
-    found = connected_components(links).select(F.col("node").alias("line"), F.col("component").alias("c"))
+    found = connected_components(links, native=True).select(F.col("node").alias("line"), F.col("component").alias("c"))
     return cut_lineage(texts.select("line").join(found, "line", "left").select("line", F.coalesce("c", "line").alias("comp")))
 
 
@@ -198,7 +198,7 @@ def line_drops(docs: DataFrame, t: int = 1, least: int = 20, classes: tuple[tupl
     listed = cut_lineage(spread.drop("text"))
     here = F.struct("doc", "version", "place")
     single = cut_lineage(listed.groupBy("line", "line2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")))
-    classes = connected_components(class_links(firsts(docs, listed, single), classes or ((least, t),), rounds=2)).withColumnRenamed("node", "line")
+    classes = connected_components(class_links(firsts(docs, listed, single), classes or ((least, t),), rounds=2), native=True).withColumnRenamed("node", "line")
     named = single.join(classes, "line", "left").withColumns({
         "c1": F.coalesce("component", "line"), "c2": F.when(F.col("component").isNull(), F.col("line2")).otherwise(F.lit(0))})
     kept = named.where("component IS NOT NULL OR n > 1")

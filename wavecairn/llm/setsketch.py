@@ -23,6 +23,12 @@ from wavecairn.llm.components import connected_components
 from wavecairn.session import cut_lineage
 
 
+#: Rows of a bucket that meet each other directly; of a larger one, those meet that share a short band.
+DIRECT_ROWS = 4096
+#: Registers of a short band: at a similarity of 0.8 all 64 bands differ with a probability of 3e-16.
+SHORT_BAND = 4
+
+
 @dataclass(frozen=True)
 class SketchConfig:
     """``bands * rows`` registers with base ``base``, values 0 to ``top``; ``slack`` is kept below the threshold.
@@ -166,7 +172,8 @@ def _pairs_of_tiles(tall: DataFrame, group: list[str], n: str, tile_rows: int, m
     several = tiles.where("chunks > 1")
     left = several.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).where("other > chunk").withColumnRenamed("rows", "a")
     right = several.select(*group, F.col("chunk").alias("other"), F.col("rows").alias("b"))
-    return within.unionByName(left.join(right, [*group, "other"]).select(F.lit(False).alias("same"), "a", "b"))
+    # Both sides are sorted: Spark sizes what comes out of an explode like what went in, and would broadcast all copies.
+    return within.unionByName(left.hint("merge").join(right.hint("merge"), [*group, "other"]).select(F.lit(False).alias("same"), "a", "b"))
 
 
 def sketch_rows(docs: DataFrame, config: SketchConfig, words: int = 5) -> DataFrame:
@@ -286,12 +293,25 @@ def _band_buckets(sets: DataFrame, config: SketchConfig) -> DataFrame:
     return cut_lineage(keyed.join(small(common, 1_000_000), "key"))
 
 
+def _short_bands(rows: DataFrame, sets: DataFrame, config: SketchConfig) -> DataFrame:
+    """Rows (id, key, m, comp) of large buckets in smaller ones: rows of a bucket with the same ``SHORT_BAND`` registers.
+
+    A large bucket, as of texts that chance has linked by their fingerprints, is not compared pair by pair. Buckets
+    of one component are left out.
+    """
+    part = lambda k: F.xxhash64("key", F.lit(k), F.substring("regs", 1 + 2 * SHORT_BAND * k, 2 * SHORT_BAND))
+    parts = F.array(*[part(k) for k in range(config.registers // SHORT_BAND)])
+    tall = rows.join(sets.select("id", "regs"), "id").select("id", "comp", F.explode(parts).alias("key"))
+    mixed = tall.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key", "m")
+    return cut_lineage(tall.join(small(cut_lineage(mixed), 1_000_000), "key").select("id", "key", "m", "comp"))
+
+
 def set_links(docs: DataFrame, sets: DataFrame, percent: int, words: int, config: SketchConfig, rounds: int = 2, tile_rows: int = 1024, bucket: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) whose components are those of all links between different sets.
 
     ``sets`` has id, n, regs and the hashes t1, t2 of one text each. In ``rounds`` rounds each bucket that still
     has several components compares its members with a pivot, which differs between rounds. What is still in
-    several components after that meets in tiles. Buckets are those of the bands, or given: id, key and the
+    several components after that meets in tiles, in buckets of more than ``DIRECT_ROWS`` rows only where a short band is equal. Buckets are those of the bands, or given: id, key and the
     number m of ids that have the key.
     """
     bucket = _band_buckets(sets, config) if bucket is None else bucket
@@ -315,7 +335,11 @@ def set_links(docs: DataFrame, sets: DataFrame, percent: int, words: int, config
     # A bucket of two has met its pivot; in larger ones, rows of different components may not have met.
     placed = bucket.where("m > 2").join(comp, "id")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    left = placed.join(mixed, "key").join(sets.select("id", "n", "regs"), "id")
+    met = cut_lineage(placed.join(mixed, "key").select("id", "key", "m", "comp"))
+    large = met.where(F.col("m") > DIRECT_ROWS)
+    if not large.isEmpty():
+        met = met.where(F.col("m") <= DIRECT_ROWS).unionByName(_short_bands(large, sets, config))
+    left = met.join(sets.select("id", "n", "regs"), "id")
     forest = cut_lineage(_register_forest(_pairs_of_tiles(left, ["key"], "m", tile_rows, ["id", "comp", "n", "regs"]), percent, config).distinct())
     group = connected_components(forest).select(F.col("node").alias("id"), F.col("component").alias("g"))
     group = cut_lineage(group.join(comp, "id"))
