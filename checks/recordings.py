@@ -5,12 +5,14 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checks import sql as S
 from checks.fixtures import ship_day, supplier_cells, supplier_waves, table
 from checks.registry import check, final, shape
-from wavecairn.operators.framing import CHANNEL, unpack_blocks
+from wavecairn.operators.framing import CHANNEL, crop_places, per_block
 from wavecairn.session import shared_folder
 from wavecairn.sources.edf import read_edf
 from wavecairn.sources.edf_sink import write_edf
@@ -46,8 +48,16 @@ _SUMS_SQL = "SELECT recording_id, channel, ch_index, count(*) AS n, sum(v) AS to
 
 
 def _sums(blocks):
-    return shape(unpack_blocks(blocks).groupBy(*CHANNEL).agg(
-        F.count("*").alias("n"), F.sum("v").alias("total"), F.sum(F.col("v") * F.col("i")).alias("weighted"), F.min("v").alias("low"), F.max("v").alias("high")), _SUMS)
+    """Sums of each array, and of them those of each channel: no sample becomes a row."""
+
+    def kernel(v, row):
+        at = np.arange(row["i0"], row["i0"] + len(v))
+        return {k: np.array([x]) for k, x in (("n", len(v)), ("total", v.sum()), ("weighted", (v * at).sum()), ("low", v.min()), ("high", v.max()))}
+
+    outputs = [("n", T.LongType()), *[(c, T.DoubleType()) for c in ("total", "weighted", "low", "high")]]
+    parts = per_block(blocks.where(F.size("v") > 0), kernel, outputs)
+    return shape(parts.groupBy(*CHANNEL).agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("weighted").alias("weighted"), F.min("low").alias("low"), F.max("high").alias("high")), _SUMS)
 
 
 @check("a1_edf_scan", S.query(S.supplier_days(), f"o AS ({_SUMS_SQL.format('s')})", select=final(_SUMS, "o")))
@@ -76,8 +86,7 @@ def a4(spark, sf):
 def a5_range(spark, sf):
     """Recordings become files, the overlap with a range runs of records; what is read beyond the range is cut off."""
     near = read_edf(spark, recordings(spark, sf), read_bytes=1 << 13).where("recording_id IN ('1', '3', '7') AND i0 < 777 AND i1 > 512 AND channel <> 'L1'")
-    cut = unpack_blocks(near).where("i >= 512 AND i < 777").withColumnRenamed("i", "i0").withColumn("v", F.array("v"))
-    return _sums(cut)
+    return _sums(crop_places(near.drop("i1"), 512, 777))
 
 
 @check("a8_edf_channels", S.query(S.supplier_days(), """

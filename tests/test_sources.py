@@ -256,3 +256,44 @@ def test_sources_without_pushdown(spark, corpus, tmp_path):
         assert read() == pushed and len(pushed[0]) == 200 and pushed[1] == {"header": 1, "channels": 3, "annotations": 2} and len(pushed[2]) == 1000
     finally:
         spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+def test_very_many_small_files_are_few_tasks(tmp_path):
+    """a3_edf_header at 1 GB: a task for each of 60 000 files."""
+    from wavecairn.sources import edf
+
+    for k in range(300):
+        write_edf(tmp_path / f"r{k}.edf", np.ones((1, 200)) * 1e-6, ["EEG A1"])
+    for mode, rows in (("header", 300), ("channels", 300), ("blocks", 300)):
+        reader = edf.EdfReader({"path": str(tmp_path)}, mode)
+        parts = reader.partitions()
+        found = [r for p in parts for r in reader.read(p)]
+        assert len(parts) < 6 and sum(getattr(r, "num_rows", 1) for r in found) == rows
+    large = edf.grouped([(edf.FilePart("p", "r", k, 4), 20 << 20) for k in range(4)], 32 << 20)
+    assert [g.part for g in large] == [0, 1, 2, 3]
+
+
+def test_files_of_whole_arrays_equal_those_of_samples(spark, tmp_path, monkeypatch):
+    """Blocks of many records give the records that samples one by one give; a recording without samples has no file."""
+    from wavecairn.operators.framing import whole
+    from wavecairn.sources import edf_sink
+
+    monkeypatch.setattr(edf_sink, "BLOCK_SAMPLES", 20)
+    rng = np.random.default_rng(4)
+    waves = {("a", "x", 0): [0.0, *rng.integers(-9, 9, 54).astype(float).tolist()], ("a", "y", 3): [float("nan"), 70000.0, -0.4] * 11, ("b", "x", 0): [5.0] * 7}
+    arrays = spark.createDataFrame([(*k, 0, v) for k, v in waves.items()], "recording_id string, channel string, ch_index int, i0 bigint, v array<double>")
+    notes = spark.createDataFrame([("a", 51.5, "late"), ("a", 3.0, "one"), ("a", 3.0, "onE"), ("a", 90.0, "outside"), ("c", 1.0, "nowhere")], "recording_id string, onset double, description string")
+    rows = unpack_blocks(arrays)
+    made = {}
+    for kind, samples in (("arrays", arrays), ("whole", arrays.withColumn("i0", whole(F.col("i0")))), ("rows", rows)):
+        folder = tmp_path / kind
+        assert {r.recording_id for r in edf_sink.write_edf(samples, str(folder), 10, 10.0, dt.datetime(2026, 1, 2), notes).collect()} == {"a", "b"}
+        made[kind] = {f.name: f.read_bytes() for f in folder.iterdir()}
+    assert made["arrays"] == made["whole"] == made["rows"] and set(made["rows"]) == {"a.edf", "b.edf"}
+    got = {(r.recording_id, r.channel): r.v for r in read_edf(spark, str(tmp_path / "whole"), kind="all").collect()}
+    for (rid, channel, _), v in waves.items():
+        want = np.zeros(60 if rid == "a" else 10)
+        want[: len(v)] = np.clip(np.round(np.nan_to_num(v)), -32768, 32767)
+        assert got[rid, channel] == want.tolist()
+    texts = [(r.onset, r.description) for r in read_edf(spark, str(tmp_path / "whole"), "annotations").collect()]
+    assert sorted(texts) == [(3.0, "onE"), (3.0, "one"), (51.5, "late")]

@@ -4,7 +4,7 @@
     spark.read.format("edf_blocks").option("mode", "blocks").load("/data/corpus")
 
 The driver lists files and their sizes only; headers and samples are read by the tasks, each one a
-run of data records of one file. Modes: blocks, header, channels, annotations. A block holds the samples
+run of data records of one file, or several small files. Modes: blocks, header, channels, annotations. A block holds the samples
 i0 to i1 - 1. Predicates on recording_id choose the files, those on i0 and i1 the runs of records that are
 read (``i0 < end AND i1 > begin`` is the overlap with a range), those on channel what is scaled and sent.
 Where the session leaves spark.sql.python.filterPushdown.enabled off, as Spark does by default, the same
@@ -37,6 +37,8 @@ SCHEMAS = {
     "annotations": "recording_id string, onset double, description string",
 }
 PART_BYTES = 32 << 20
+#: What opening a file counts as when small files are put together in one partition.
+OPEN_BYTES = 256 << 10
 READ_BYTES = 8 << 20
 
 
@@ -111,6 +113,29 @@ class FilePart(InputPartition):
         self.path, self.recording_id, self.part, self.parts = path, recording_id, part, parts
 
 
+@dataclass
+class FileGroup(InputPartition):
+    """Runs of records of files, read one after the other by one task."""
+
+    pieces: list[FilePart]
+
+    def __init__(self, pieces: list[FilePart]):
+        super().__init__(None)
+        self.pieces = pieces
+
+
+def grouped(parts: list[tuple[FilePart, int]], most: int) -> list[FilePart | FileGroup]:
+    """Neighbouring parts (part, bytes) together up to ``most`` bytes: very many small files are not as many tasks."""
+    groups, held = [], most + 1
+    for part, size in parts:
+        if held + size + OPEN_BYTES > most:
+            groups.append([])
+            held = 0
+        groups[-1].append(part)
+        held += size + OPEN_BYTES
+    return [FileGroup(g) if len(g) > 1 else g[0] for g in groups]
+
+
 def list_files(path: str, suffix: str) -> list[tuple[str, str, int]]:
     """(path, recording id, bytes) of one file, or of every matching file below a folder, sorted.
 
@@ -155,14 +180,16 @@ class EdfReader(DataSourceReader):
         for path, rid, size in list_files(self.base, ".edf"):
             if not self.pushed.allows(recording_id=rid):
                 continue
-            count = max(1, math.ceil(size / self.part_bytes)) if self.mode in ("blocks", "annotations") else 1
-            parts += [FilePart(path, rid, k, count) for k in range(count)]
-        return parts
-
-    def read(self, part: FilePart):
-        with _open(self.base, part.path) as stream:
-            header = read_header(stream)
-            yield from getattr(self, f"_read_{self.mode}")(part, header, stream)
+            whole = self.mode not in ("blocks", "annotations")
+            count = 1 if whole else max(1, math.ceil(size / self.part_bytes))
+            parts += [(FilePart(path, rid, k, count), 0 if whole else size // count) for k in range(count)]
+        return grouped(parts, self.part_bytes)
+
+    def read(self, group: FilePart | FileGroup):
+        for part in group.pieces if isinstance(group, FileGroup) else [group]:
+            with _open(self.base, part.path) as stream:
+                header = read_header(stream)
+                yield from getattr(self, f"_read_{self.mode}")(part, header, stream)
 
     def _wanted(self, header: Header) -> list[tuple[int, int]]:
         """(position in the file, ch_index) of the chosen signals."""
