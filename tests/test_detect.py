@@ -204,3 +204,30 @@ def test_panes_equal_windows(spark, window, step):
         if len(x) > 2:
             line = np.polyfit(known, x, 1)
             assert np.allclose([r.slope, r.rms], [line[0], np.sqrt(np.mean((x - np.polyval(line, known)) ** 2))], atol=1e-9)
+
+
+def test_selected_medians_read_the_rows_once(spark, tmp_path):
+    """f1_robust_z_selected_medians at 1 GB: every narrowing read and exploded all rows again, and all rows were written."""
+    rng = np.random.default_rng(8)
+    values = {"a": [*rng.normal(size=801), None], "b": [0.0] * 700 + [float(x) for x in rng.integers(1, 9, 300)], "c": [1e6 + 0.1] * 40, "d": [None, None], None: [1.0, 2.0, 4.0, 9.0]}
+    rows = spark.createDataFrame([(g, x if x is None else float(x), None if x is None else -2.0 * float(x)) for g, v in values.items() for x in v], "g string, x double, y double")
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    for limit in (3, 50):
+        before = reads.value
+        got = {r.g: r for r in robust.robust_stats(rows.mapInArrow(seen, rows.schema), ["g"], ["x", "y"], max_group_rows=1 << 40, small_rows=limit).collect()}
+        assert reads.value - before == sum(map(len, values.values())) and set(got) == set(values)
+        for g, v in values.items():
+            held = np.array([x for x in v if x is not None])
+            for c, k in (("x", 1.0), ("y", -2.0)):
+                if len(held):
+                    center, mad, std = np.median(k * held), 1.4826 * np.median(np.abs(k * held - np.median(k * held))), (k * held).std()
+                    want = mad if mad > 1e-12 else std if np.ptp(held) else 1.0
+                    np.testing.assert_allclose([got[g][f"{c}_center"], got[g][f"{c}_scale"]], [center, want], rtol=1e-12)
+                else:
+                    assert got[g][f"{c}_center"] is None
