@@ -150,3 +150,17 @@ def test_slices_with_gaps_are_blocks_with_missing_values(spark):
         held, lo, hi = want[r["channel"]], min(want[r["channel"]]), max(want[r["channel"]])
         first, last = max(lo, r["own0"] - 3), min(hi, r["own0"] + 11)
         assert r["i0"] == first and r["v"] == [held.get(i) for i in range(first, last + 1)]
+
+
+def test_whole_channels_stay_whole_under_every_reference(spark):
+    """a9_comparison at 0.1 GB: every day became a row, and pairs of channels met day by day."""
+    from wavecairn.operators.framing import is_whole, unpack_blocks, whole
+    from wavecairn.plans import analyse
+    from wavecairn.session import cut_lineage
+
+    rows = [("r", f"EEG PM{k + 1}", k, 0, [float((k + 2) * j % 7) for j in range(9000 + k)]) for k in range(3)]
+    arrays = spark.createDataFrame(rows, "recording_id string, channel string, ch_index int, i0 bigint, v array<double>").withColumn("i0", whole(F.col("i0")))
+    got = cut_lineage(analyse.with_montage(arrays))
+    assert is_whole(got) and got.count() == 5
+    key = lambda r: (r.recording_id, r.channel, r.ch_index, r.i, r.v)
+    assert sorted(map(key, unpack_blocks(got).collect())) == sorted(map(key, analyse.with_montage(unpack_blocks(arrays)).select("recording_id", "channel", "ch_index", "i", "v").collect()))
